@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing
+from . import decontam, langid, packing, quality
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,13 @@ def held_out_of(column: str, n: int, residue: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)) == residue
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    out = quality.score(docs, model)
+    return out.select(F.col("id").alias("doc_id"), held_out_of("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
 
@@ -56,5 +63,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesc
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-QUERIES = {"op5_decontam": op5_decontam, "op7_langid": op7_langid, "op10_packing": op10_packing}
+QUERIES = {"op5_decontam": op5_decontam, "op7_langid": op7_langid, "op9_quality": op9_quality, "op10_packing": op10_packing}
 ORACLE_SQL = {"op5_decontam": OP5_SQL}
