@@ -52,3 +52,20 @@ def discard(df: DataFrame) -> None:
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns that most operators read, under fixed names, so that other columns cannot clash."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: A key is hot if it holds more than one in so many rows; so there are at most that many hot keys, whatever the data.
+HOT_ONE_IN = 1000
+
+
+def look_up(rows: DataFrame, found: DataFrame, keys: list[str], n: int, count: str = "n_rows") -> DataFrame:
+    """rows left join found, where `found` has one row a key and, in `count`, the key's number of rows.
+
+    Hot keys, of which there can only be HOT_ONE_IN, go by broadcast, so that no task gets a hot key's rows; the others
+    are joined by shuffle.  n: the number of rows.  Rows with a null key find nothing.
+    """
+    limit = max(64, n // HOT_ONE_IN)
+    marked = rows.join(F.broadcast(found.filter(F.col(count) > limit).withColumn("__hot", F.lit(True))), keys, "left")
+    hot = marked.filter(F.col("__hot")).drop("__hot")
+    cold = marked.filter(F.col("__hot").isNull()).select(*rows.columns)
+    return cold.join(found.filter(F.col(count) <= limit), keys, "left").select(*hot.columns).unionByName(hot)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality
+from . import decontam, langid, neardup, packing, quality
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,11 @@ def held_out(n: int, residue: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)) == residue
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.classes(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,5 +68,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesc
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-QUERIES = {"op5_decontam": op5_decontam, "op7_langid": op7_langid, "op9_quality": op9_quality, "op10_packing": op10_packing}
+QUERIES = {"op3_neardup": op3_neardup, "op5_decontam": op5_decontam, "op7_langid": op7_langid, "op9_quality": op9_quality, "op10_packing": op10_packing}
 ORACLE_SQL = {"op5_decontam": OP5_SQL}
