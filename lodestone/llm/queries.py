@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, quality
+from . import decontam, langid, neardup, packing, quality, secrets
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,10 @@ def held_out_of(column: str, n: int, residue: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)) == residue
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
@@ -68,5 +72,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesc
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-QUERIES = {"op3_neardup": op3_neardup, "op5_decontam": op5_decontam, "op7_langid": op7_langid, "op9_quality": op9_quality, "op10_packing": op10_packing}
+QUERIES = {"op3_neardup": op3_neardup, "op5_decontam": op5_decontam, "op7_langid": op7_langid, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_packing": op10_packing}
 ORACLE_SQL = {"op5_decontam": OP5_SQL}
