@@ -1,8 +1,58 @@
-"""A training corpus from raw documents, stage by stage; each stage's rows are written and read again by the next."""
+"""A training corpus from raw documents, stage by stage; each stage's rows are written and read again by the next.
 
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of
+documents; the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import decontam, langid, neardup, packing, secrets
+from lodestone.llm.common import staged, table
+from lodestone.llm.queries import VOCABULARY
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, that is null or without a letter, go."""
+    return langid.keep_known(docs, langid.fit(docs, F.lit(True)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document of smallest id stays."""
+    return neardup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover a twentieth of the words or more go."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), "drop")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are masked."""
+    return secrets.redact(docs, "text", "n_chars")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents in sequences."""
+    return packing.pack(docs, VOCABULARY).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("near-dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
+
+#: Classifiers, component search and packing are not expressible in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
