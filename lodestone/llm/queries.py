@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, quality, secrets
+from . import ann, decontam, html_text, langid, neardup, packing, quality, secrets
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,15 @@ def held_out(n: int, residue: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)) == residue
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.main_text(pages, html_text.fit(pages)).withColumnRenamed("id", "page_id")
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.classes(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
@@ -72,5 +81,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesc
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-QUERIES = {"op3_neardup": op3_neardup, "op5_decontam": op5_decontam, "op7_langid": op7_langid, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_packing": op10_packing}
+QUERIES = {"op1_ann": op1_ann, "op2_html": op2_html, "op3_neardup": op3_neardup, "op5_decontam": op5_decontam, "op7_langid": op7_langid, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_packing": op10_packing}
 ORACLE_SQL = {"op5_decontam": OP5_SQL}
