@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_text, langid, neardup, packing, quality, secrets, warc
+from . import ann, decontam, html_text, langid, neardup, packing, quality, secrets, suffixes, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -85,5 +89,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesc
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-QUERIES = {"op1_ann": op1_ann, "op2_html": op2_html, "op3_neardup": op3_neardup, "op5_decontam": op5_decontam, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_packing": op10_packing}
+QUERIES = {"op1_ann": op1_ann, "op2_html": op2_html, "op3_neardup": op3_neardup, "op4_suffixes": op4_suffixes, "op5_decontam": op5_decontam, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_packing": op10_packing}
 ORACLE_SQL = {"op5_decontam": OP5_SQL}
