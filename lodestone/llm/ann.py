@@ -179,7 +179,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
     dims = lengths[0][0] if lengths else 0
     keyed = good.filter(F.size("v") == dims).withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
     # Of equal vectors, the k + 1 smallest ids; and every query, which is the stated set.
-    ranked = keyed.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("n") <= k + 1)
+    ranked = keyed.withColumn("n", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("n") <= k + 1)
     distinct = staged(ranked.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.array_sort(F.collect_set("id")).alias("ids")), "vectors")
     n = distinct.count()
     asked = keyed.filter("q").select(F.col("id").alias("query_id"), "v").dropDuplicates(["query_id"])
