@@ -56,15 +56,26 @@ def knn_media(vecs: DataFrame, chunks: DataFrame, query: Column, k: int, types:
     return d.orderBy(F.col("distance").asc_nulls_last(), id_col).limit(k)
 
 
+#: Queries that are sent to every task at once.
+QUERY_BLOCK = 4096
+
+
 def knn_batch(vecs: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
     """The k nearest rows of each of a stated set of queries: query_id, id, distance, rank.
 
-    The queries go to every row of the index as one array a task, and each row is scored in place; ranks are cut per
-    task before the shuffle."""
-    q = queries.agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))).alias("__q"))
-    scored = vecs.select(id_col, vector_col).crossJoin(F.broadcast(q)).select(id_col, F.explode(F.transform("__q", lambda s: F.struct(s.q.alias("q"), vectors.cosine_distance(F.col(vector_col), s.v).alias("d")))).alias("__s"))
+    The queries go to the rows in blocks of bounded size, as one array a task, and each row is scored in place; ranks are
+    cut per task before the shuffle."""
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), id_col)
-    return scored.select(F.col("__s.q").alias("query_id"), id_col, F.col("__s.d").alias("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    parts = []
+    for i in range(blocks):
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
+        q = own.agg(F.collect_list(F.struct("q", "v")).alias("__q"))
+        pairs = F.transform("__q", lambda s: F.struct(s.q.alias("q"), vectors.cosine_distance(F.col(vector_col), s.v).alias("d")))
+        scored = vecs.select(id_col, vector_col).crossJoin(F.broadcast(q)).select(id_col, F.explode(pairs).alias("__s"))
+        parts.append(scored.select(F.col("__s.q").alias("query_id"), id_col, F.col("__s.d").alias("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 # Full text
