@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import SNIPPET
 
-SPACES = r"(?U)\s+"
+#: Characters of the Unicode property White_Space.  Spelt out, they match several times faster.
+SPACE = r"[ \t\n\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = f"{SPACE}+"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -25,7 +27,7 @@ def words(c: Column) -> Column:
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(c, rf"^{SPACES}|{SPACES}\z", "")
 
 
 def trim_end(c: Column) -> Column:
@@ -87,7 +89,7 @@ def snippet(content: Column, most: int = SNIPPET) -> Column:
     flat = F.ltrim(F.regexp_replace(body, SPACES, " "))
     n = F.length(flat)
     # The limit may be reached by a space of which more follows: that counts as more text.
-    cut = (n > most) | ((n == most) & F.endswith(flat, F.lit(" ")) & body.rlike(r"(?U)\s\s\z"))
+    cut = (n > most) | ((n == most) & F.endswith(flat, F.lit(" ")) & body.rlike(rf"{SPACE}{SPACE}\z"))
     head = F.trim(F.substring(flat, 1, most))
     return F.when(cut, F.concat(F.substring(head, 1, most - 3), F.lit("..."))).otherwise(F.trim(flat))
 
