@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives the memory of dropped Arrow tables and arrays back: the driver is small and has more to do."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns that most operators read, under fixed names, so that other columns cannot clash."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .textkit import U64, as_string, slices
 
 UNKNOWN = "und"
@@ -164,7 +165,13 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     found = rows.filter(F.col("h") <= most).mapInArrow(count, "h long, lang string, ids array<int>, f array<float>").toArrow().sort_by("h").slice(0, sample)
     ids, f = found["ids"].combine_chunks(), found["f"].combine_chunks()
-    return train(found["lang"].to_pylist(), [(np.asarray(i.values), np.asarray(v.values, dtype=np.float64)) for i, v in zip(ids, f, strict=True) if len(i.values)] if len(found) else [])
+    counts = [(np.array(i.values), np.array(v.values, dtype=np.float64)) for i, v in zip(ids, f, strict=True)] if len(found) else []
+    names = found["lang"].to_pylist()
+    del found, ids, f
+    model = train(names, counts)
+    del counts
+    release()
+    return model
 
 
 PREDICTED = "id long, lang_pred string, score double, ambiguous boolean"
