@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, staged
+from .common import discard, id_text, staged
 from .textkit import BYTE_BASE, U64, as_string, inverse, mix, powers, sums
 
 LENGTH = 50
@@ -32,8 +32,8 @@ SEED = 24
 SPREAD = LENGTH - SEED + 1  # places of the anchor in a string
 LEFT = SPREAD - 1
 #: Bytes of text to a chunk, and chunks whose share of anchors makes one range.
-CHUNK = 4 << 20
-CHUNKS_PER_RANGE = 4
+CHUNK = 2 << 20
+CHUNKS_PER_RANGE = 3
 _RECORD = LENGTH + LEFT + 2
 _NULL = -(1 << 63)
 
@@ -63,7 +63,8 @@ def _anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1 if len(first) else first
-    return place[first], owner[first], h[place[first]], start[first], start[last]
+    # An anchor's hash is a minimum and so is small; mixed again, fingerprints are spread evenly.
+    return place[first], owner[first], mix(h[place[first]]), start[first], start[last]
 
 
 def _records(data: np.ndarray, at: np.ndarray, place: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -92,13 +93,13 @@ class Chunk:
         self.place, self.owner, self.seed, self.first, self.last = _anchors(self.data, self.at)
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct seeds of the chunk, sorted, and for each the smallest and largest document that has it."""
+        """Distinct seeds of the chunk, sorted, and whether several of its documents have it."""
         order = np.argsort(self.seed, kind="stable")
         s, d = self.seed[order], self.ids[self.owner[order]]
-        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, dtype=np.int64)
-        if not len(begin):
-            return s, np.zeros((0, 2), dtype=np.int64)
-        return s[begin], np.stack([np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)], axis=1)
+        if not len(s):
+            return s, np.zeros(0, dtype=bool)
+        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        return s[begin], np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
 
     def shared(self, seeds: np.ndarray) -> np.ndarray:
         """Anchors whose seed is among the given sorted ones."""
@@ -272,17 +273,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 s, d = Chunk(list(row.ids), list(row.texts)).fingerprints()
                 r = _range_of(s, n)
                 cuts = np.searchsorted(r, np.arange(n + 1))
-                yield pd.DataFrame([(k, row.chunk, s[a:b].tobytes(), d[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], columns=["range", "chunk", "seeds", "docs"])
+                yield pd.DataFrame([(k, row.chunk, s[a:b].tobytes(), d[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], columns=["range", "chunk", "seeds", "several"])
 
     def find(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        """Seeds of one range that two documents have, for each chunk."""
+        """Seeds of one range that several documents of a chunk or several chunks have, for each chunk."""
         s = [np.frombuffer(x, dtype=U64) for x in f["seeds"]]
-        every = np.concatenate(s)
-        d = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(-1, 2) for x in f["docs"]])
+        every, several = np.concatenate(s), np.concatenate([np.frombuffer(x, dtype=bool) for x in f["several"]])
         order = np.argsort(every, kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
-        several = np.minimum.reduceat(d[order, 0], begin) != np.maximum.reduceat(d[order, 1], begin)
-        known = every[order][begin][several]
+        known = every[order][begin][np.logical_or.reduceat(several[order], begin) | (np.diff(np.append(begin, len(every))) > 1)]
         rows = []
         for chunk, own in zip(f["chunk"], s, strict=True):
             mine = own[np.isin(own, known, assume_unique=True)]
@@ -290,11 +289,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows.append((chunk, int(key[0]), mine.tobytes()))
         return pd.DataFrame(rows, columns=["chunk", "range", "seeds"])
 
-    marks = chunks.mapInPandas(seeds, "range long, chunk string, seeds binary, docs binary").repartition(n, "range").groupBy("range").applyInPandas(find, "chunk string, range long, seeds binary")
+    marks = chunks.mapInPandas(seeds, "range long, chunk string, seeds binary, several binary").repartition(n, "range").groupBy("range").applyInPandas(find, "chunk string, range long, seeds binary")
     marks = staged(marks, "shared-seeds")
     # One row a chunk and range: a chunk's rows are at most as many as there are ranges.
     by_chunk = marks.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("range", "seeds"))), lambda x: x.seeds).alias("marks"))
     marked = staged(chunks.join(by_chunk, "chunk", "left"), "marked")
+    discard(chunks)
+    discard(marks)
 
     def known_seeds(marks) -> np.ndarray:
         return np.zeros(0, dtype=U64) if marks is None else np.concatenate([np.frombuffer(x, dtype=U64) for x in marks])
