@@ -35,6 +35,7 @@ LEFT = SPREAD - 1
 CHUNK = 2 << 20
 CHUNKS_PER_RANGE = 3
 _RECORD = LENGTH + LEFT + 2
+#: Stands for a null id inside of chunks.
 _NULL = -(1 << 63)
 
 
@@ -86,8 +87,8 @@ def _records(data: np.ndarray, at: np.ndarray, place: np.ndarray, owner: np.ndar
 class Chunk:
     """A chunk's texts and its anchors, in an order that every step finds again."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes]):
-        self.ids = np.array([_NULL if i is None else i for i in ids], dtype=np.int64)
+    def __init__(self, ids: list[int], texts: list[bytes]):
+        self.ids = np.array(ids, dtype=np.int64)
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))])
         self.place, self.owner, self.seed, self.first, self.last = _anchors(self.data, self.at)
@@ -246,7 +247,7 @@ def _chunked(docs: DataFrame) -> DataFrame:
         for batch in batches:
             column = as_string(batch.column(1)).cast(pa.large_binary())
             for i, t in zip(batch.column(0).to_pylist(), column.to_pylist(), strict=True):
-                ids.append(i)
+                ids.append(_NULL if i is None else i)
                 texts.append(t)
                 size += len(t)
                 if size >= CHUNK:
@@ -352,7 +353,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     g = gone[a:b]
                     step = np.diff(np.concatenate([[0], g.astype(np.int8), [0]]))
                     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-                    rows.append((i, b - a, int(g.sum()), len(starts), hashlib.sha256(c.data[a:b][~g].tobytes()).hexdigest(), [f"{s}-{e}" for s, e in zip(starts, ends, strict=True)]))
+                    rows.append((None if i == _NULL else i, b - a, int(g.sum()), len(starts), hashlib.sha256(c.data[a:b][~g].tobytes()).hexdigest(), [f"{s}-{e}" for s, e in zip(starts, ends, strict=True)]))
                 yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]).astype({"id": "Int64"})
 
     done = marked.join(per_chunk, "chunk", "left").select("ids", "texts", "marks", "found")

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import ann, decontam, html_text, langid, neardup, packing, quality, queries, secrets, warc
+from lodestone.llm import ann, decontam, html_text, langid, neardup, packing, quality, queries, secrets, suffixes, warc
 from lodestone.llm.textkit import Words, as_string
 
 SF = "/root/testdata/sf0.001"
@@ -191,6 +191,65 @@ def test_classes_defined_cases(spark):
     assert neardup.classes(d.limit(0)).collect() == [] and neardup.keep_one(d).columns == d.columns
 
 
+# 4
+
+
+def brute_removed(rows, length=50):
+    first: dict[bytes, int] = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            first.setdefault(b[p : p + length], i)
+    out = set()
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            j = first[b[p : p + length]]
+            if j != i and (j is None or i is not None and j < i):
+                gone[p : p + length] = b"\x01" * length
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.add((i, len(b), sum(gone), bytes(gone).count(b"\x00\x01") + (gone[:1] == b"\x01"), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def removed(df):
+    return {(r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicated(df).collect()}
+
+
+def test_repeats_are_those_of_brute_force(spark, documents, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    assert removed(df) == brute_removed(documents)
+    monkeypatch.setattr(suffixes, "CHUNK", 20_000)
+    assert removed(df) == brute_removed(documents)
+
+
+def test_repeats_defined_cases(spark):
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcdé \n\x00", k=400))
+    rows = [(1, base), (2, base), (3, "x" + base[100:149]), (4, "x" + base[100:150]), (5, base[:49]), (6, base[-50:]), (7, "a" * 300), (8, "a" * 120), (None, base[200:260]), (9, None), (10, ""), (11, base[10:70] + "!" + base[40:120] + base[300:])]
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string").withColumn("chunk", F.lit("c"))
+    assert removed(df) == brute_removed(rows)
+    assert removed(df.limit(0)) == set() and removed(df.filter("doc_id = 5")) == brute_removed(rows[4:5])
+
+
+def test_loser_tree_keeps_prefixes():
+    rng = np.random.default_rng(3)
+    runs, every = [], []
+    for k in range(7):
+        m = rng.integers(97, 99, (rng.integers(0, 40), suffixes._RECORD)).astype(np.uint8)
+        m[:, 8:] = 97
+        m = np.unique(m, axis=0)
+        every += [bytes(r) for r in m]
+        runs.append(suffixes.Run(*suffixes.front_coded(m)))
+    out = []
+    for run, _, shares in suffixes.merged(runs):
+        out.append((runs[run].head, shares))
+    assert [h for h, _ in out] == sorted(every)
+    for (a, _), (b, shares) in itertools.pairwise(out):
+        assert shares == next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), suffixes._RECORD)
+
+
 # 5
 
 
