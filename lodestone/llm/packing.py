@@ -167,12 +167,12 @@ def sum_of_squares(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarra
             bins[i], made = made, made + 1
             continue
         have = open_bins[s:size]
-        cost = np.where(have > 0, open_bins[: size - s] - have + 1, never)  # half the change in the sum of squares
+        cost = np.where(have > 0, 2 * (open_bins[: size - s] - have) + 2, never)  # the change in the sum of squares
         gap = s
         if have[0]:
-            cost[0] = -have[0]  # (1 - 2 n) / 2, rounded down: closing a bin
+            cost[0] = 1 - 2 * have[0]  # closing a bin
         best = int(cost.argmin())
-        if cost[best] <= open_bins[size - s]:
+        if cost[best] <= 2 * open_bins[size - s] + 1:
             gap = s + best
             b = stacks[gap].pop()
             open_bins[gap] -= 1
