@@ -258,11 +258,11 @@ def brute_hits(doc, items):
     for item, t in items:
         b = words(t)
         n = min(13, len(b))
-        for j in range(len(b) - n + 1) if n else ():
-            for i in range(len(w) - n + 1):
-                if w[i : i + n] == b[j : j + n]:
-                    hit.update(range(i, i + n))
-                    found.add(item)
+        windows = {tuple(b[j : j + n]) for j in range(len(b) - n + 1)} if n else set()
+        for i in range(len(w) - n + 1) if n else ():
+            if tuple(w[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+                found.add(item)
     return len(w), len(hit), sorted(found)
 
 
