@@ -362,6 +362,13 @@ def bm25_batch(spark, sf):
     return R.bm25_batch(index(spark, sf).terms, b, 10).select("query_id", "chunk_id", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+#: The same on whole benchmark texts: `bm25_batch` asks for their first three tokens, as its SQL does.
+@query(ORACLE_SQL["bm25_batch"].replace("> 1)[1:3], lambda", "> 1), lambda"))
+def bm25_batch_text(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return R.bm25_batch(index(spark, sf).terms, b, 10).select("query_id", "chunk_id", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # Fusion and hits
 
 ASKED = "that with"

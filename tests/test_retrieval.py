@@ -9,6 +9,7 @@ from lodestone.errors import BadRequest, DimMismatch, PathNotIndexed, TextNotAMe
 from lodestone.functions import porter, scoring, text, vectors
 from lodestone.operators import retrieval as R
 from lodestone.operators import search as S
+from lodestone.plans import catalog
 
 
 def one(spark, **columns):
@@ -202,6 +203,29 @@ def test_batch_rankings(spark, index):
     assert {r.chunk_id: r.score for r in got if r.query_id == 1} == pytest.approx(alone)
 
 
+def test_batch_asks_for_whole_texts(spark, tmp_path):
+    """Chunks that hold the first words of a benchmark text, but not all of them, are no hits."""
+    docs = [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta gamma delta"), (3, "gamma beta alpha"), (4, "epsilon delta gamma beta alpha again alpha"), (5, "zeta")]
+    items = [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta gamma"), (3, "alpha beta gamma delta zeta"), (4, None)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, [1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r.chunk_id): r.score for r in catalog.bm25_batch_text(spark, str(tmp_path)).collect()}
+    mean = sum(len(t.split()) for _, t in docs) / len(docs)
+    want = {}
+    for q, asked in items:
+        for i, t in docs:
+            w = t.split()
+            if asked and set(asked.split()) <= set(w):
+                score = 0.0
+                for x in set(asked.split()):
+                    d = sum(x in u.split() for _, u in docs)
+                    r = (len(docs) - d + 0.5) / (d + 0.5)
+                    score -= (math.log(r) if r > 1 else 1e-6) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean))
+                want[q, i * 1000] = score
+    assert set(want) == {(1, 1000), (1, 4000), (2, 1000), (2, 2000), (2, 3000), (2, 4000)} and got == pytest.approx(want, abs=1e-6)
+
+
 def test_response_leaves_out_nulls(index):
     row = S.response(S.search(index, "salt", [0.0, 1.0], 1)).first()[0]
     assert "mime_type" not in row and "truncated" not in row and '"path"' in row
