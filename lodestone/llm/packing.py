@@ -6,13 +6,15 @@ dealt into packing groups by a hash, about `GROUP` pieces each, and each group i
 sees more than a bounded number of pieces; what this costs is a few half-open bins per group.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed once each; an empty table gives no
-rows; other columns are not read.
+rows; other columns are not read; where a text holds an added token of the vocabulary file, such as its end-of-text mark,
+that is one id, as the file's own library has it.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,21 +52,34 @@ def _ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token) and not token.startswith("<|")}
 
 
+def _added(path: str) -> dict[str, int]:
+    """Ids of the vocabulary file's added tokens, which are found in a text before it is split."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("an added token of the vocabulary takes in what stands around it; only literal ones can be encoded")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class Encoder:
     """Token ids of many texts.
 
     A space between two characters that are no white space always begins a token of such a vocabulary, so texts are cut
     there, each distinct word is encoded once, and ids are gathered by word; texts with other spacing are encoded whole.
-    The ids are those of the vocabulary file's own library (tests compare them); the merges run in a faster one.
+    The ids are those of the vocabulary file's own library (tests compare them); the merges run in a faster one.  With
+    `added`, texts that hold added tokens of the file are encoded whole, cut at these; without, the literals are text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         ranks = _ranks(path)
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.spaced = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in ranks.items() if token[0] == 32]] = True
+        self.added = _added(path) if added else {}
+        # The longest of several that begin at one place.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._forget()
 
     def _forget(self) -> None:
@@ -88,11 +103,18 @@ class Encoder:
             self._learn(other, np.fromiter(itertools.chain.from_iterable(each), dtype="<u4"), np.fromiter(map(len, each), dtype=np.int64, count=len(each)))
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def _whole(self, text: str) -> list[int]:
+        if not self.cut:
+            return self.bpe.encode_ordinary(text)
+        return [i for k, part in enumerate(self.cut.split(text)) for i in ([self.added[part]] if k % 2 else self.bpe.encode_ordinary(part))]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by END_ID, and the offsets of the texts in them."""
         if len(self.known) > CACHE:
             self._forget()
         unsafe = pc.match_substring_regex(column, _UNSAFE)
+        for token in self.added:
+            unsafe = pc.or_(unsafe, pc.match_substring(column, token))
         safe = pc.if_else(unsafe, pa.scalar("", pa.large_string()), column)
         words = pc.split_pattern(safe, " ")
         at = words.offsets.to_numpy()
@@ -104,7 +126,7 @@ class Encoder:
         blank = pa.scalar("", pa.large_string())
         coded = pc.binary_join_element_wise(pc.if_else(pa.array(first), blank, pa.scalar(" ", pa.large_string())), flat, blank).dictionary_encode()
         place = self._codes(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
-        whole = [self.bpe.encode_ordinary(t) for t in column.filter(unsafe).to_pylist()]
+        whole = [self._whole(t) for t in column.filter(unsafe).to_pylist()]
         extra = [*whole, [END_ID]]
         sizes = np.fromiter(map(len, extra), dtype=np.int64, count=len(extra))
         n = len(self.ends)
@@ -125,7 +147,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added=True)
     return _encoders[path]
 
 

@@ -443,6 +443,23 @@ def test_ids_are_those_of_the_library(documents):
         assert ids[a:b].tolist() == [*t.encode(x, add_special_tokens=False).ids, 0], repr(x)
 
 
+def test_added_tokens_are_those_of_the_library(spark, documents):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.VOCABULARY)
+    rng = random.Random(6)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 2, f"x{end}y", f" {end} ", f"a  b{end}\n c", "<|endoftext| >", f"word {end[:-1]} {end}>"]
+    texts += ["".join(rng.choices([end, "<|", "ab", " ", "'s", "\n", "é"], k=12)) for _ in range(200)] + [x for _, x in documents[:20]]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    ids, at = packing.encoder(queries.VOCABULARY).encode(as_string(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == want
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.pack(d, queries.VOCABULARY).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.id][r.start : r.start + r.length], dtype="<u4").tobytes())
+
+
 def check_packing(rows, lengths):
     pieces, bins = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
