@@ -68,7 +68,8 @@ def _tested(token: Column, alphabet: str, pairs: float, triples: float) -> Colum
     size = len(alphabet)
     fold = token if alphabet[0] == "A" else F.lower(token)
     n = F.length(token).cast("double")
-    counts = [F.length(token) - F.length(F.replace(fold, F.lit(c), F.lit(""))) for c in alphabet]
+    # As doubles: the square of a count of 46,342 is beyond an int.
+    counts = [(F.length(token) - F.length(F.replace(fold, F.lit(c), F.lit("")))).cast("double") for c in alphabet]
     equal = F.aggregate(F.array(*counts), F.lit(0.0), lambda a, c: a + c * (c - 1))
     spread = 2 * n * (n - 1) * (pairs - pairs**2) + 4 * n * (n - 1) * (n - 2) * (triples - pairs**2)
     p = _normal((equal - n * (n - 1) * pairs) / F.sqrt(spread))

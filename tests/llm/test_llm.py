@@ -420,6 +420,15 @@ def test_randomness_battery(spark):
     assert len(found & set(range(60))) >= 54 and not found & set(range(60, 60 + len(plain)))
 
 
+def test_very_long_tokens(spark):
+    rng = random.Random(4)
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=60_000))
+    df = spark.createDataFrame([(1, "a" * 50_000), (2, "-" * 50_000), (3, "see " + blob), (4, "token = abcdefgh")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    assert got == {1: "hex:0:50000", 2: "", 3: "random:4:60004", 4: "assign:0:16"}
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "[SECRET]", 2: "-" * 50_000, 3: "see [SECRET]", 4: "[SECRET]"}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token = abcdefgh, 0123456789abcdef0123456789 end", 5), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     got = secrets.redact(df, "text", "n_chars").orderBy("doc_id").collect()
