@@ -99,46 +99,40 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
         yield [(r[0], r[1]) for r in rows.collect()]
 
 
+def _united(scans: tuple[tuple[int, int, list[int], list[tuple[int, int]]], ...]) -> tuple[int, int, list[int], list[tuple[int, int]]]:
+    """One text's scans by several blocks as one scan: runs that meet or overlap are one run."""
+    if len(scans) == 1:
+        return scans[0]
+    runs: list[tuple[int, int]] = []
+    for s, e in sorted(r for x in scans for r in x[3]):
+        if runs and s <= runs[-1][1]:
+            runs[-1] = runs[-1][0], max(e, runs[-1][1])
+        else:
+            runs.append((s, e))
+    return scans[0][0], sum(e - s for s, e in runs), sorted({i for x in scans for i in x[2]}), runs
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """Per document: id, n_words, n_hit, items (sorted) and spans (hit runs as word positions, end exclusive)."""
-    spark = docs.sparkSession
-    source = id_text(docs, id_col, text_col)
-    parts = []
-    for items in _blocks(id_text(benchmark, item_col, item_text_col)):
-        held = spark.sparkContext.broadcast(WindowSet(items, size))
-
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            known: WindowSet = held.value
-            for batch in batches:
-                ids, texts = batch.column(0), as_string(batch.column(1))
-                for start, part in slices(texts):
-                    rows = list(known.scan(part))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.slice(start, len(part)),
-                            pa.array([r[0] for r in rows], pa.int64()),
-                            pa.array([r[1] for r in rows], pa.int64()),
-                            pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                            pa.array([[{"start": s, "end": e} for s, e in r[3]] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        ],
-                        names=["id", "n_words", "n_hit", "items", "spans"],
-                    )
-
-        parts.append(source.mapInArrow(scan, SPANS))
-    if len(parts) == 1:
-        return parts[0]
-    # Several blocks: a document's positions are united.  Rows that repeat an id are told apart by their number in it.
-    merged = None
-    for p in parts:
-        merged = p if merged is None else merged.unionByName(p)
-    grouped = merged.groupBy("id", "n_words").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    ordered = F.array_sort("spans")
-    united = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),
-        lambda a, s: F.struct((a.n + F.greatest(F.lit(0), s.end - F.greatest(a.upto, s.start))).cast("long").alias("n"), F.greatest(a.upto, s.end).alias("upto")),
-    )
-    return grouped.select("id", "n_words", united.n.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), ordered.alias("spans"))
+    held = [docs.sparkSession.sparkContext.broadcast(WindowSet(b, size)) for b in _blocks(id_text(benchmark, item_col, item_text_col))]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), as_string(batch.column(1))
+            for start, part in slices(texts):
+                rows = [_united(r) for r in zip(*(known.value.scan(part) for known in held), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(start, len(part)),
+                        pa.array([r[0] for r in rows], pa.int64()),
+                        pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                        pa.array([[{"start": s, "end": e} for s, e in r[3]] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    ],
+                    names=["id", "n_words", "n_hit", "items", "spans"],
+                )
+
+    return id_text(docs, id_col, text_col).mapInArrow(scan, SPANS)
 
 
 def is_contaminated(n_hit, n_words):

@@ -289,6 +289,20 @@ def test_contamination_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, decontam.report(d, t).drop("hit_words").collect())) == one
 
 
+def test_blocks_judge_each_row(spark, monkeypatch):
+    """Repeated rows, null ids and different texts of one id stay rows of their own, whatever the number of blocks."""
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    clean = " ".join(f"z{i}" for i in range(20))
+    t = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}"), (4, "a19 b0")], "item_id long, text string")
+    d = spark.createDataFrame([(1, a), (1, a), (1, clean), (1, b), (None, clean), (None, a), (None, clean), (None, f"{a} {b}"), (2, None)], "doc_id long, text string")
+    def rows():
+        return sorted(map(str, decontam.report(d, t).collect()))
+    one = rows()
+    assert len(one) == 9 and sum("contaminated=True" in r for r in one) == 5
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
+    assert len(list(decontam._blocks(t.withColumnRenamed("item_id", "id")))) > 2 and rows() == one
+
+
 def test_contamination_is_that_of_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
