@@ -1,9 +1,9 @@
 """Quality classification: logistic regression on hashed word n-grams, learnt by follow-the-regularised-leader steps and
 applied as sparse dot products.
 
-A text's words are its runs of non-blank bytes.  Each word counts under its lower-cased form, under its shape (runs of
-lower case, upper case and digits shrunk to one sign each, other signs kept), in shape pairs and shape triples, and with
-whether it repeats one of the two words before it.
+A text's words are its runs of non-blank bytes.  Each word counts under its lower-cased form, in lower-cased word pairs
+and word triples, under its shape (runs of lower case, upper case and digits shrunk to one sign each, other signs kept),
+in shape pairs and shape triples, and with whether it repeats one of the two words before it.
 
 The model is fitted on the driver, on at most `SAMPLE` labelled rows, chosen by the smallest hashes of their ids.
 Defined cases: a null or blank text has one feature of its own, so its score is a learnt one; null labels are not learnt
@@ -35,7 +35,7 @@ _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = 1
 _CLASS[65:91] = 2
 _CLASS[48:58] = 3
-_FAMILIES = 5
+_FAMILIES = 7
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +72,11 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         index = np.arange(m) - np.repeat(first[:-1], count)
         out[:, 0] = _bucket(word, 1)
         out[:, 1] = _bucket(shape, 2)
-        two = shape * U64(3)
-        two[1:] += np.where(index[1:] >= 1, shape[:-1], U64(1))
-        out[:, 2] = _bucket(two, 3)
-        three = two * U64(5)
-        three[2:] += np.where(index[2:] >= 2, shape[:-2], U64(1))
-        out[:, 3] = _bucket(three, 4)
+        for unit, column, family in ((shape, 2, 3), (word, 5, 7)):
+            two = unit * U64(3) + np.where(index >= 1, np.roll(unit, 1), U64(1))
+            out[:, column] = _bucket(two, family)
+            three = two * U64(5) + np.where(index >= 2, np.roll(unit, 2), U64(1))
+            out[:, column + 1] = _bucket(three, family + 1)
         again = np.zeros(m, dtype=U64)
         again[1:] += ((index[1:] >= 1) & (word[1:] == word[:-1])).astype(U64)
         again[2:] += ((index[2:] >= 2) & (word[2:] == word[:-2])).astype(U64) * U64(2)

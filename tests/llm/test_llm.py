@@ -388,6 +388,15 @@ def test_quality_held_out(spark):
     assert sum(r.predicted == y for r, y in known) / len(known) > 0.93 and all(r.held_out for r, _ in known)
 
 
+def test_quality_features_depend_on_word_order():
+    """Words in another order are other pairs and triples, though of the same shapes; none reaches over a text's edge."""
+    texts = ["the cat sat on a mat", "mat a on sat cat the", "The CAT", "a", "the cat sat on a mat"]
+    ids, at = quality.features(as_string(pa.array(texts)))
+    got = [collections.Counter(ids[a:b].tolist()) for a, b in itertools.pairwise(at)]
+    assert [sum(c.values()) for c in got] == [7 * len(t.split()) for t in texts] and got[0] == got[4]
+    assert sum((got[0] - got[1]).values()) >= 10
+
+
 def test_quality_defined_cases(spark):
     d = odd_documents(spark)
     none = quality.fit(d, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True))
