@@ -5,8 +5,9 @@ consecutive words of one item; an item of fewer words (but not none) is one wind
 words themselves, so results are exact.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no window; items that share
-a window are all reported; repeated rows are each judged on their own; an empty benchmark hits nothing.  Columns besides
-the id and the text are left alone by `decontaminate`, whatever their names.
+a window are all reported; repeated rows are each judged on their own; an empty benchmark hits nothing; items without an
+id hit words as others do and are, together, one item without a name.  Columns besides the id and the text are left alone
+by `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +32,18 @@ _BITS = 20
 SPANS = "id long, n_words long, n_hit long, items array<long>, spans array<struct<start: long, end: long>>"
 
 
+def _in_order(items: set[int | None]) -> list[int | None]:
+    """Sorted, with the items without an id last."""
+    return sorted(items - {None}) + [None] * (None in items)
+
+
 class WindowSet:
     """Windows of benchmark items by hash, with a bit table that turns most lookups away."""
 
-    def __init__(self, items: list[tuple[int, str | None]], size: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], size: int):
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.owners: dict[int, list[tuple[bytes, list[int]]]] = {}
-        grouped: dict[int, dict[int, dict[bytes, set[int]]]] = {}
+        self.owners: dict[int, list[tuple[bytes, list[int | None]]]] = {}
+        grouped: dict[int, dict[int, dict[bytes, set[int | None]]]] = {}
         for item, text in items:
             words = Words(as_string(pa.array([text], pa.string())))
             n = len(words.hash)
@@ -55,12 +61,12 @@ class WindowSet:
             bits[hashes >> U64(64 - _BITS)] = True
             self.by_length[length] = hashes, bits
             for h, keys in found.items():
-                self.owners.setdefault(h, []).extend((k, sorted(v)) for k, v in keys.items())
+                self.owners.setdefault(h, []).extend((k, _in_order(v)) for k, v in keys.items())
 
-    def scan(self, column: pa.Array) -> Iterator[tuple[int, int, list[int], list[tuple[int, int]]]]:
+    def scan(self, column: pa.Array) -> Iterator[tuple[int, int, list[int | None], list[tuple[int, int]]]]:
         """For each text: words, words that are hit, items, and hit runs of words as (first, past the last)."""
         words = Words(column)
-        items: dict[int, set[int]] = {}
+        items: dict[int, set[int | None]] = {}
         edge = np.zeros(len(words.hash) + 1, dtype=np.int64)
         data = None
         for length, (hashes, bits) in self.by_length.items():
@@ -86,12 +92,11 @@ class WindowSet:
             if n_hit:
                 step = np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))
                 runs = list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
-            yield b - a, n_hit, sorted(items.get(t, ())), runs
+            yield b - a, n_hit, _in_order(items.get(t, set())), runs
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+def _blocks(b: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
     """The benchmark in blocks of bounded size; the usual benchmark is one block."""
-    b = benchmark.filter(F.col("id").isNotNull())
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // BLOCK_BYTES + 1
     for k in range(n):
@@ -99,7 +104,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
         yield [(r[0], r[1]) for r in rows.collect()]
 
 
-def _united(scans: tuple[tuple[int, int, list[int], list[tuple[int, int]]], ...]) -> tuple[int, int, list[int], list[tuple[int, int]]]:
+def _united(scans: tuple[tuple[int, int, list[int | None], list[tuple[int, int]]], ...]) -> tuple[int, int, list[int | None], list[tuple[int, int]]]:
     """One text's scans by several blocks as one scan: runs that meet or overlap are one run."""
     if len(scans) == 1:
         return scans[0]
@@ -109,7 +114,7 @@ def _united(scans: tuple[tuple[int, int, list[int], list[tuple[int, int]]], ...]
             runs[-1] = runs[-1][0], max(e, runs[-1][1])
         else:
             runs.append((s, e))
-    return scans[0][0], sum(e - s for s, e in runs), sorted({i for x in scans for i in x[2]}), runs
+    return scans[0][0], sum(e - s for s, e in runs), _in_order({i for x in scans for i in x[2]}), runs
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:

@@ -303,6 +303,24 @@ def test_blocks_judge_each_row(spark, monkeypatch):
     assert len(list(decontam._blocks(t.withColumnRenamed("item_id", "id")))) > 2 and rows() == one
 
 
+def test_items_without_an_id_hit(spark, monkeypatch):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    items = [(None, a), (None, "nameless words"), (7, b), (8, b), (None, None)]
+    docs = [(1, a), (2, f"{a} {b}"), (3, b), (4, "some nameless words"), (5, "clean"), (6, None)]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = con.sql(queries.ORACLE_SQL["op5_decontam"])
+    names, want = want.columns, sorted(want.fetchall())
+    assert {r[0] for r in want if r[-1]} == {1, 2, 3, 4}
+    assert sorted(map(tuple, decontam.report(d, t).select(*names).collect())) == want
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
+    assert sorted(map(tuple, decontam.report(d, t).select(*names).collect())) == want
+
+
 def test_contamination_is_that_of_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
