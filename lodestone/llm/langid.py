@@ -208,16 +208,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose text is of some learnt language; `und` rows go."""
+    """The rows of `docs`, all columns, whose text is of some learnt language; `und` rows go.
+
+    If no language was learnt, `und` says nothing, and the texts with a letter stay."""
     decide = predictor(docs.sparkSession, model)
     at = docs.columns.index(text_col)
+    learnt = bool(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_string(batch.column(at))
             for start, part in slices(texts):
-                lang, _, _ = decide(part)
-                yield batch.slice(start, len(part)).filter(pa.array([x != UNKNOWN for x in lang]))
+                if learnt:
+                    keep = [x != UNKNOWN for x in decide(part)[0]]
+                else:
+                    keep = [bool(_LETTER.search(t)) for t in part.to_pylist()]
+                yield batch.slice(start, len(part)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

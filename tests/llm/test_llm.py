@@ -591,6 +591,12 @@ def test_pipeline_stage_by_stage(spark, documents):
     assert stages["packing"](spark, docs, SF).select("doc_id").distinct().count() == len(documents)
 
 
+def test_language_stage_without_known_languages(spark):
+    d = odd_documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.identify_language(spark, d, SF).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["4", "5", "5", "6", "None"]
+
+
 def test_pipeline_takes_odd_rows(spark, tmp_path):
     d = odd_documents(spark)
     for _, stage in corpus_pipeline.STAGES:
