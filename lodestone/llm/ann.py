@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 K = 5
 TREES = 8
@@ -219,8 +219,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
                 )
 
     schema = f"tree int, leaf int, asks int, id long, v {dict(distinct.dtypes)['v']}"
-    placed = distinct.select("id", "v").mapInArrow(place, schema)
-    visiting = asked.mapInArrow(ask, schema)
+    placed = distinct.select("id", "v").mapInArrow(lean(place), schema)
+    visiting = asked.mapInArrow(lean(ask), schema)
     met = placed.unionByName(visiting).repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "asks", "id")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +263,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_
         if got:
             yield batch_of(reduced())
 
-    found = met.mapInArrow(rerank, "query_id long, id long, score double")
+    found = met.mapInArrow(lean(rerank), "query_id long, id long, score double")
     # A pair that several trees found has one score but for the last bits, which depend on the block it was in.
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     near = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)

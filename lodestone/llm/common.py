@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, unless the session has a setting of its own: a batch stands in
+#: the executor's memory several times, beside its heap.
+BATCH_BYTES = "4m"
+_BATCH_SETTING, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes; texts of ten thousand rows, Spark's bound, may be any size."""
+    now = spark.conf.get(_BATCH_SETTING)
+    if now is not None and now.rstrip("b") == str(_SPARK_DEFAULT):
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,13 +70,33 @@ def discard(df: DataFrame) -> None:
 
 
 def release() -> None:
-    """Gives the memory of dropped Arrow tables and arrays back: the driver is small and has more to do."""
+    """Gives the memory of what was dropped back to the system: the driver is small, and a Python worker stays alive
+    between tasks, beside the executor's heap."""
+    textkit.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """For a function over a partition's batches: when it ends, the worker keeps none of its memory."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns that most operators read, under fixed names, so that other columns cannot clash."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text
+from .common import id_text, lean, small_batches
 from .textkit import U64, Words, as_string, slices
 
 WINDOW = 13
@@ -137,7 +137,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     names=["id", "n_words", "n_hit", "items", "spans"],
                 )
 
-    return id_text(docs, id_col, text_col).mapInArrow(scan, SPANS)
+    return id_text(docs, id_col, text_col).mapInArrow(lean(scan), SPANS)
 
 
 def is_contaminated(n_hit, n_words):
@@ -162,6 +162,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", t
     """
     if action not in ("drop", "spans"):
         raise ValueError("action is drop or spans")
+    small_batches(docs.sparkSession)
     blocks = list(_blocks(id_text(benchmark.withColumn("__i", F.lit(0)), "__i", item_text_col)))
     held = [docs.sparkSession.sparkContext.broadcast(WindowSet(b, size)) for b in blocks]
     schema = T.StructType(docs.schema.fields)
@@ -196,7 +197,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", t
                     cols = [c if k != at else new for k, c in enumerate(rows.columns)]
                     yield pa.RecordBatch.from_arrays(cols, schema=rows.schema)
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(lean(scan), schema)
 
 
 def items_digest(items: list[int]) -> str:

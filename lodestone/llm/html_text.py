@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
+
 #: Labelled pages that weights are learnt from, at most.
 SAMPLE = 1000
 
@@ -216,12 +218,13 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sampl
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*((k, x, g, n) for (k, x, g), n in kept.items()), strict=True)], names=["kind", "name", "good", "n"])
 
-    found = labelled.filter(F.col("h") <= most).select("html").mapInArrow(run, "kind string, name string, good boolean, n long")
+    found = labelled.filter(F.col("h") <= most).select("html").mapInArrow(lean(run), "kind string, name string, good boolean, n long")
     return weights({(r[0], r[1], r[2]): r[3] for r in found.groupBy("kind", "name", "good").agg(F.sum("n")).collect()})
 
 
 def main_text(pages: DataFrame, w: Weights, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page."""
+    small_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,4 +232,4 @@ def main_text(pages: DataFrame, w: Weights, id_col: str = "page_id", url_col: st
             texts = [extract(x, held.value) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "id long, url string, text string, n_chars long")
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html")).mapInArrow(lean(run), "id long, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import lean, release, small_batches
 from .textkit import U64, as_string, slices
 
 UNKNOWN = "und"
@@ -147,6 +147,7 @@ def train(languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]], epo
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fits the classifiers on the rows where `learn` holds and the language is known."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     most = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if most is None:
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                     names=["h", "lang", "ids", "f"],
                 )
 
-    found = rows.filter(F.col("h") <= most).mapInArrow(count, "h long, lang string, ids array<int>, f array<float>").toArrow().sort_by("h").slice(0, sample)
+    found = rows.filter(F.col("h") <= most).mapInArrow(lean(count), "h long, lang string, ids array<int>, f array<float>").toArrow().sort_by("h").slice(0, sample)
     ids, f = found["ids"].combine_chunks(), found["f"].combine_chunks()
     counts = [(np.array(i.values), np.array(v.values, dtype=np.float64)) for i, v in zip(ids, f, strict=True)] if len(found) else []
     names = found["lang"].to_pylist()
@@ -179,6 +180,7 @@ PREDICTED = "id long, lang_pred string, score double, ambiguous boolean"
 
 def predictor(spark, model: Model):
     """A function over arrow texts that gives (language, score, ambiguous) arrays; the model is broadcast once."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def predict(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -204,7 +206,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 lang, score, close = decide(part)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(lang), pa.array(score), pa.array(close)], names=["id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PREDICTED)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), PREDICTED)
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -225,7 +227,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
                     keep = [bool(_LETTER.search(t)) for t in part.to_pylist()]
                 yield batch.slice(start, len(part)).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 __all__ = ["U64", "Model", "fit", "keep_known", "predict", "train"]

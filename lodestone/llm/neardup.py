@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, look_up, staged
+from .common import id_text, lean, look_up, staged
 from .textkit import U64, WORD_BASE, Words, as_string, inverse, mix, powers, slices, sums
 
 SHINGLE = 5
@@ -166,7 +166,7 @@ def sketched(docs: DataFrame, size: int, sketches: int, several: int) -> DataFra
                     names=["id", "f1", "f2", "n", "sketch", "parity"],
                 )
 
-    return docs.mapInArrow(run, SKETCHED)
+    return docs.mapInArrow(lean(run), SKETCHED)
 
 
 def _bit(column):
@@ -196,7 +196,7 @@ def _sequences_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 short = labelled.astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(short))], names=["id", "seq"])
 
-    return docs.select("id", "text", _bit(F.col("id")).alias("b")).mapInArrow(run, "id long, seq array<int>")
+    return docs.select("id", "text", _bit(F.col("id")).alias("b")).mapInArrow(lean(run), "id long, seq array<int>")
 
 
 def verified(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
@@ -210,7 +210,7 @@ def verified(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
 
     left = seqs.select(F.col("id").alias("u"), F.col("seq").alias("su"))
     right = seqs.select(F.col("id").alias("v"), F.col("seq").alias("sv"))
-    return pairs.join(left, "u").join(right, "v").select(*columns, "su", "sv").mapInArrow(run, pairs.schema)
+    return pairs.join(left, "u").join(right, "v").select(*columns, "su", "sv").mapInArrow(lean(run), pairs.schema)
 
 
 def components(links: DataFrame) -> DataFrame:

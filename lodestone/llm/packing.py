@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_text, staged
+from .common import discard, id_text, lean, staged
 from .textkit import as_string, slices
 
 SEQUENCE = 2048
@@ -33,7 +33,7 @@ END_ID = 0
 #: Pieces to a packing group.
 GROUP = 20_000
 #: Distinct words whose ids a worker keeps.
-CACHE = 700_000
+CACHE = 300_000
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 #: White space next to a space, where a cut at the space could change the tokens.
@@ -80,9 +80,9 @@ class Encoder:
         self.added = _added(path) if added else {}
         # The longest of several that begin at one place.
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, dtype="<u4")
         self.ends = np.zeros(0, dtype=np.int64)
@@ -111,7 +111,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's followed by END_ID, and the offsets of the texts in them."""
         if len(self.known) > CACHE:
-            self._forget()
+            self.forget()
         unsafe = pc.match_substring_regex(column, _UNSAFE)
         for token in self.added:
             unsafe = pc.or_(unsafe, pc.match_substring(column, token))
@@ -173,8 +173,9 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                         rows.append((doc, k, s, e - s, zlib.crc32(ids[a + s : a + e].tobytes())))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "piece", "start", "length", "ids_crc32"])
+        enc.forget()
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return id_text(docs, id_col, text_col).mapInArrow(lean(run), PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
 from .textkit import BYTE_BASE, LOWER, U64, as_string, inverse, mix, powers, raw, slices, sums
 
 #: Labelled rows that the model is fitted on, at most.
@@ -151,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
                     names=["h", "y", "ids", "f"],
                 )
 
-    found = rows.mapInArrow(count, "h long, y int, ids array<int>, f array<float>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")]).slice(0, sample)
+    found = rows.mapInArrow(lean(count), "h long, y int, ids array<int>, f array<float>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")]).slice(0, sample)
     if not len(found):
         return Model(np.zeros(1 << BITS, dtype=np.float32), 0.0)
     ids, f = found["ids"].combine_chunks(), found["f"].combine_chunks()
@@ -160,6 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every document."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,4 +170,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for start, part in slices(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(held.value.score(part))], names=["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "id long, score double")

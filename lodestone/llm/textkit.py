@@ -32,11 +32,16 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 8 * CHUNK_BYTES:
+        if size <= CHUNK_BYTES + 1:
             _powers[base] = have
     return have[:n]
 
 
+def forget() -> None:
+    """Drops what is kept between calls."""
+    _powers.clear()
+
+
 def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import look_up, new_dir, staged
+from .common import lean, look_up, new_dir, small_batches, staged
 
 #: Fixed values of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -162,6 +162,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     """Writes all rows as archives and returns the manifest: path, n_records, n_bytes.  `folder` is a URI that driver
     and executors share; by default a new one under the shared folder."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or new_dir(spark, "warc")
     p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     slim = staged(p.select("id", F.sha1(F.encode("payload", "UTF-8")).alias("d"), F.octet_length("payload").alias("n")).filter(F.col("n") >= least).distinct(), "digests")
@@ -200,7 +201,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*done, strict=True)], names=["path", "n_records", "n_bytes"])
 
-    return staged(rows.mapInArrow(run, "path string, n_records long, n_bytes long").withColumn("folder", F.lit(folder)), "manifest")
+    return staged(rows.mapInArrow(lean(run), "path string, n_records long, n_bytes long").withColumn("folder", F.lit(folder)), "manifest")
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
@@ -238,7 +239,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
     files = manifest.select("path", "folder")
     n = max(1, files.count())
-    return files.repartition(min(n, 10_000)).mapInArrow(run, READ)
+    return files.repartition(min(n, 10_000)).mapInArrow(lean(run), READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
