@@ -36,8 +36,9 @@ SIMILARITY = 0.8
 #: similarity 0.3 and less, which a common passage makes by the thousand, rarely meet.
 SEVERAL = 5
 SKETCHES = 30
-#: In texts of up to so many shingles, where one more changes much, so many sketches of two shingles are taken besides.
-SHORT, SHORT_SKETCHES = 40, 12
+#: In texts of up to 40 shingles, where one more changes much, 12 sketches of two shingles are taken besides; so they are
+#: in all texts that are similar to one of these, which have 40 / 0.8 shingles at most.
+SHORT, SHORT_SKETCHES = int(40 / SIMILARITY), 12
 LINKS_PER_PART = 50_000
 #: Meetings of two classes' members that are looked at in one round, for each document.
 MEETINGS_PER_DOCUMENT = 250
@@ -123,18 +124,27 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence along paths that leave the diagonal by `band` at most; row by row, with
-    a row's state in the bits of one integer."""
+    the 2 * band + 1 cells of a row in the bits of one integer: a cell is 0 where the length grows.  Cells that leave
+    the band are counted, those that enter it are 1."""
     if not len(a) or not len(b):
         return 0
     place = {x: i for i, x in enumerate(a.tolist())}
-    full = (1 << len(a)) - 1
-    v = full
+    band = min(band, max(len(a), len(b)))
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    v, length, row = full, 0, 0
     for j, x in enumerate(b.tolist()):
         i = place.get(x)
-        if i is not None and abs(i - j) <= band:
-            u = v & (1 << i)
-            v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+        if i is None or abs(i - j) > band:
+            continue
+        if j > row:
+            gone = min(j - row, width)
+            length += gone - (v & ((1 << gone) - 1)).bit_count()
+            v = (v >> gone) | (full ^ (full >> gone))
+            row = j
+        u = v & (1 << (i - j + band))
+        v = ((v + u) | (v - u)) & full
+    return length + width - v.bit_count()
 
 
 def parities(labelled: np.ndarray) -> np.ndarray:
@@ -193,10 +203,10 @@ def _sequences_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             texts = as_string(batch.column(1))
             for start, part in slices(texts):
                 labelled, at = sequences(Words(part), size)
-                short = labelled.astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(short))], names=["id", "seq"])
+                signs = pa.array(labelled.view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), signs)], names=["id", "seq"])
 
-    return docs.select("id", "text", _bit(F.col("id")).alias("b")).mapInArrow(lean(run), "id long, seq array<int>")
+    return docs.select("id", "text", _bit(F.col("id")).alias("b")).mapInArrow(lean(run), "id long, seq array<long>")
 
 
 def verified(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:

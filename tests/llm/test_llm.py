@@ -184,6 +184,26 @@ def test_alignment_and_its_bound():
     assert 0 < odd <= 60
 
 
+def test_band_of_the_alignment():
+    rng = random.Random(5)
+    for _ in range(500):
+        a, b, band = rng.sample(range(20), rng.randrange(15)), rng.sample(range(20), rng.randrange(15)), rng.randrange(9)
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (a[i] == b[j] and abs(i - j) <= band))
+        assert neardup._banded(np.array(a), np.array(b), band) == best[-1][-1]
+
+
+def test_classes_of_texts_around_the_bound_of_short_ones(spark):
+    rng = random.Random(9)
+    rows = []
+    for f in range(12):
+        base = [f"f{f}w{i}" for i in range(44)]  # 40 shingles
+        rows += [(10 * f, " ".join(base)), (10 * f + 1, " ".join([*base, "more"])), (10 * f + 2, " ".join([*base, *(f"e{rng.randrange(99)}" for _ in range(3))]))]
+    got = {r.id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_classes_defined_cases(spark):
     d = odd_documents(spark)
     got = [(r.id, r.class_id) for r in neardup.classes(d).collect()]
