@@ -69,6 +69,13 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Has the driver notice that exchanges are done with: Spark deletes their files when it collects its garbage, which
+    for a small driver may be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Gives the memory of what was dropped back to the system: the driver is small, and a Python worker stays alive
     between tasks, beside the executor's heap."""

@@ -241,9 +241,27 @@ def test_repeats_are_those_of_brute_force(spark, documents, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     assert removed(df) == brute_removed(documents)
     monkeypatch.setattr(suffixes, "CHUNK", 20_000)
+    monkeypatch.setattr(suffixes, "RANGE", 20_000)
     assert removed(df) == brute_removed(documents)
 
 
+def test_anchors_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    at = np.array([0, 30, 30, 80, 2100, 2149, 5000])
+    whole = suffixes._anchors(data, at)
+    monkeypatch.setattr(suffixes, "SLICE", 61)
+    assert all((a == b).all() and len(a) for a, b in zip(whole, suffixes._anchors(data, at), strict=True))
+
+
+def test_left_parts_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(suffixes, "mix", lambda x: x * suffixes.U64(0))
+    records = np.full((3, suffixes._RECORD), 97, dtype=np.uint8)
+    records[2, suffixes.LENGTH + suffixes.LEFT - 2] = 98  # differs two places left of the anchor
+    found = suffixes.smaller_strings(records, np.array([0, 76, 73], dtype=np.uint8), np.array([5, 7, 9]), np.full(3, 7, dtype=np.uint32))
+    assert found.tolist() == [0, 7, 3]
+
+
 def test_repeats_defined_cases(spark):
     rng = random.Random(8)
     base = "".join(rng.choices("abcdé \n\x00", k=400))
