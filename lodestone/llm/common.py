@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,12 +35,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a new local one, but only
+    if driver and executors are one process (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lodestone.shared.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.lodestone.shared.dir", root) if not spark.conf.get("spark.lodestone.shared.dir", None) else None
-        root = spark.conf.get("spark.lodestone.shared.dir")
+        spark.conf.set("spark.lodestone.shared.dir", root)
     return root.rstrip("/")
 
 
@@ -101,6 +104,17 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns that most operators read, under fixed names, so that other columns cannot clash."""
     small_batches(df.sparkSession)

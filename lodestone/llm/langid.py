@@ -13,12 +13,12 @@ letter is of it; with none, every text is `und`; repeated rows are judged on the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +26,12 @@ from .common import lean, release, small_batches
 from .textkit import U64, as_string, slices
 
 UNKNOWN = "und"
-#: Labelled rows that the classifiers are fitted on, at most.
-SAMPLE = 4000
+#: Labelled rows that the classifiers are fitted on, and bytes of their texts, at most: the driver holds their n-grams.
+SAMPLE, SAMPLE_BYTES = 4000, 24 << 20
 DIMENSIONS = 1 << 15
 ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.05
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = r"\p{L}"
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +149,12 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """Fits the classifiers on the rows where `learn` holds and the language is known."""
     small_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    most = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if most is None:
+    first = rows.select("h", F.octet_length("text").alias("n")).orderBy("h", "n").limit(sample).collect()
+    sizes = np.cumsum([r["n"] for r in first])
+    first = first[: int(np.searchsorted(sizes, SAMPLE_BYTES, side="right"))]
+    if not first:
         return train([], [])
+    most = first[-1]["h"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +167,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                     names=["h", "lang", "ids", "f"],
                 )
 
-    found = rows.filter(F.col("h") <= most).mapInArrow(lean(count), "h long, lang string, ids array<int>, f array<float>").toArrow().sort_by("h").slice(0, sample)
+    found = rows.filter(F.col("h") <= most).mapInArrow(lean(count), "h long, lang string, ids array<int>, f array<float>").toArrow().sort_by("h").slice(0, len(first))
     ids, f = found["ids"].combine_chunks(), found["f"].combine_chunks()
     counts = [(np.array(i.values), np.array(v.values, dtype=np.float64)) for i, v in zip(ids, f, strict=True)] if len(found) else []
     names = found["lang"].to_pylist()
@@ -185,7 +188,7 @@ def predictor(spark, model: Model):
 
     def predict(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         m: Model = held.value
-        lettered = [bool(_LETTER.search(t)) for t in texts.to_pylist()]
+        lettered = pc.match_substring_regex(texts, _LETTER).to_pylist()
         if not m.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
         best, score, close = m.decide(texts)
@@ -224,7 +227,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 if learnt:
                     keep = [x != UNKNOWN for x in decide(part)[0]]
                 else:
-                    keep = [bool(_LETTER.search(t)) for t in part.to_pylist()]
+                    keep = pc.match_substring_regex(part, _LETTER).to_pylist()
                 yield batch.slice(start, len(part)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(lean(run), docs.schema)

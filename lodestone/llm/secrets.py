@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import fresh, id_text
 
 #: The base patterns.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -112,7 +112,7 @@ def _kind(spans: Column, kind: int) -> Column:
 def with_spans(docs: DataFrame, text: str, base: str, spans: str) -> DataFrame:
     """Adds arrays of structs (s, k, e): base spans, and all spans; k is the place in KINDS.  `text` must not be null."""
     t = F.col(text)
-    c = {k: f"__{k}_{base}" for k in (*KINDS, "tested")}
+    c = dict(zip((*KINDS, "tested"), fresh(docs, *(f"__{k}" for k in (*KINDS, "tested"))), strict=True))
     out = docs.withColumns({c["assign"]: _located(t, ASSIGN), c["access"]: _located(t, ACCESS), c["hex"]: _located(t, HEX), c["random"]: _located(t, TOKEN)})
     out = out.withColumn(
         base,
@@ -154,10 +154,11 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, mask: str = "[SECRET]") -> DataFrame:
     """`docs`, same columns, with secrets masked in the text (null stays null); length_col is brought up to date."""
-    work = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    work = with_spans(work, "__text", "__base", "__all")
-    new = F.when(F.size("__all") > 0, redacted(F.col("__text"), F.col("__all"), mask)).otherwise(F.col(text_col))
+    text, base, every = fresh(docs, "__text", "__base", "__all")
+    work = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    work = with_spans(work, text, base, every)
+    new = F.when(F.size(every) > 0, redacted(F.col(text), F.col(every), mask)).otherwise(F.col(text_col))
     work = work.withColumn(text_col, new)
     if length_col:
-        work = work.withColumn(length_col, F.when(F.size("__all") > 0, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
-    return work.select(*docs.columns)
+        work = work.withColumn(length_col, F.when(F.size(every) > 0, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
+    return work.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -124,6 +124,44 @@ def test_pages_text(spark):
         assert r.text == "\n\n".join(b for b in blocks if b)
 
 
+def test_main_text_without_marks():
+    """Weights come from some pages; on others, the mark is renamed away."""
+    import html
+
+    pages = [h for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()]
+    counts = collections.Counter()
+    for h in pages[:100]:
+        counts.update(html_text.count(h))
+    w = html_text.weights(counts)
+    for h in pages[100:]:
+        inner = re.search(r"<article>(.*?)</article>", h, re.S)[1]
+        want = collections.Counter(html.unescape(re.sub(r"<[a-zA-Z/!][^>]*>", " ", inner)).split())
+        got = collections.Counter(html_text.extract(re.sub("(</?)article>", r"\1div>", h), w).split())
+        both = (got & want).total()
+        assert 2 * both >= 0.99 * (got.total() + want.total())
+
+
+def test_odd_markup():
+    w = html_text.Weights()
+    cases = {
+        '<p class="x>world is big</p>': "world is big", "<p title=it's>some text</p>": "some text", "<p>super<wbr>cali</p>": "supercali", "<p>1 < 2 and 3 > 2</p>": "1 < 2 and 3 > 2",
+        '<article><div class="related-work"><p>work done before</p></div></article>': "work done before", "<p a='>' b>x y</p>": "x y", "<p>a b<!-- c --d": "a b", "<p>one two</p><script>x</p>": "one two",
+        "<p>" + "one " * 90 + "</p><div class=ad>" + "buy it " * 200 + "</div><p>" + "two " * 90 + "</p>": ("one " * 90).strip() + "\n\n" + ("two " * 90).strip(),
+        "<p>" + "one " * 90 + "</p><section id=comments><p>" + "me too " * 50 + "</p></section>": ("one " * 90).strip(),
+    }
+    for page, text in cases.items():
+        assert html_text.extract(page, w) == text, page
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p class="x>', "<div>", "<", "<!--", "<script>", "<a b='", "</p><div>", "<div class=ad>x", "<b x= ", "<![CDATA["])
+def test_time_is_linear_in_hostile_markup(piece):
+    import time
+
+    page, began = piece * 40_000, time.process_time()
+    html_text.extract(page, html_text.Weights())
+    assert time.process_time() - began < 3
+
+
 # 3
 
 
@@ -437,6 +475,24 @@ def test_codewords_stand_apart(n):
     assert far[~np.eye(n, dtype=bool)].min() >= max(1, code.shape[1] // 4)
 
 
+def test_signs_that_are_no_letters(spark):
+    d = spark.createDataFrame([(1, "½ ²"), (2, "①"), (3, "Ⅷ _ 12"), (4, "x"), (5, "漢"), (6, "ª")], "doc_id long, text string")
+    m = langid.train(["en", "de"], [(np.array([1]), np.array([1.0])), (np.array([2]), np.array([1.0]))])
+    want = {i for i, t in d.collect() if not regex.search(r"\p{L}", t)}
+    assert want == {1, 2, 3} == {r.id for r in langid.predict(d, m).collect() if r.lang_pred == "und"} and langid.keep_known(d, m).count() == 3
+
+
+def test_language_sample_is_bounded_by_bytes(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "wort " * 50 if i % 2 else "word " * 50, "de" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 10 * 250)
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda names, counts: seen.append(len(names)))
+    langid.fit(d, F.lit(True))
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 1)
+    langid.fit(d, F.lit(True))
+    assert seen == [10, 0]
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     score = {r.doc_id: r for r in queries.op9_quality(spark, sf).collect()}
@@ -514,6 +570,11 @@ def test_redaction(spark):
     assert [tuple(r) for r in got] == [(1, "é [SECRET], [SECRET] end", 24), (2, None, None), (3, "clean", 5)]
 
 
+def test_redaction_leaves_other_columns_alone(spark):
+    df = spark.createDataFrame([(1, "token = abcdefgh", "keep me", "x", "y", "z")], "doc_id long, text string, __text string, __ALL string, __base string, __tested string")
+    assert [tuple(r) for r in secrets.redact(df).collect()] == [(1, "[SECRET]", "keep me", "x", "y", "z")]
+
+
 # 10
 
 
