@@ -86,6 +86,31 @@ def test_nearest_recall(spark):
     assert sum(len(set(v.values()) & set(want[q])) for q, v in got.items()) / (5 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("n, clusters", [(2000, 0), (51_000, 0), (200_000, 2000)])
+def test_nearest_looks_at_fewer_rows_than_a_scan(spark, tmp_path, n, clusters):
+    """Vectors without any clusters, the hardest case, and many in clusters; each with its recall."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 64)).astype(np.float32)
+    if clusters:
+        v = 0.3 * v + rng.normal(size=(clusters, 64)).astype(np.float32)[rng.integers(0, clusters, n)]
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet", row_group_size=20_000)
+    step = n // 50
+    got, looked = collections.defaultdict(set), {}
+    for r in ann.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % step == 0).collect():
+        got[r.query_id].add(r.vec_id)
+        looked[r.query_id] = r.looked_at
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    right = 0
+    for q in range(0, n, step):
+        score = unit @ unit[q]
+        score[q] = -9
+        right += len(got[q] & set(np.argpartition(-score, 5)[:5].tolist()))
+    assert right >= 0.9 * 5 * len(looked) and len(looked) == 50
+    assert sum(looked.values()) / len(looked) < (0.2 if clusters else 0.9) * n
+
+
 def test_nearest_defined_cases(spark):
     bad = [(90, None), (91, []), (92, [0.0, 0.0]), (93, [float("nan"), 1.0]), (94, [float("inf"), 1.0]), (95, [None, 1.0]), (96, [1.0])]
     rows = [(i, [1.0, 0.0]) for i in range(8)] + [(8, [2.0, 0.0]), (9, [0.0, 1.0])]
