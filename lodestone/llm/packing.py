@@ -214,9 +214,10 @@ PACKED = PIECES + ", sequence_id long, offset long"
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Pieces of all documents with the sequence that holds each and its place there."""
+    # The place of a row in the written table tells repeated rows apart, so that they do not all go to one group.
     cut = staged(pieces(docs, vocabulary, id_col, text_col, size), "pieces")
     n = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("deal", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(n)).cast("int")).repartition(n, "deal")
+    dealt = cut.withColumn("deal", F.pmod(F.xxhash64("id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n)).cast("int")).repartition(n, "deal")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
