@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import argparse
-import hmac
+import json
+import os
 import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .errors import BadRequest, EngineError, Unauthorized
+from .errors import AccessDenied, BadRequest, EngineError, Unauthorized, authorised
 from .functions import text
 
 
@@ -21,17 +22,13 @@ def rendered(hits: DataFrame, width: int = 80) -> DataFrame:
     return hits.coalesce(1).select(text.format_hit(rank, F.col("score_normalized"), F.col("path"), F.col("heading_path"), F.col("snippet"), tag, width).alias("line"))
 
 
-def authorised(header: str | None, expected: str) -> None:
-    """Holds a bearer header against the expected token, in constant time."""
-    scheme, _, token = (header or "").partition(" ")
-    if scheme.lower() != "bearer" or not hmac.compare_digest(token.strip().encode(), expected.encode()):
-        raise Unauthorized("unauthorized")
-
-
 def arguments(argv: Sequence[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser("lodestone")
     p.add_argument("query")
     p.add_argument("--index", default="./index")
+    p.add_argument("--server", default="", help="ask a service there instead of opening the index")
+    p.add_argument("--token", default="")
+    p.add_argument("--provider", default="")
     p.add_argument("--limit", type=int, default=10)
     p.add_argument("--path", default="")
     p.add_argument("--media-only", action="store_true")
@@ -48,6 +45,31 @@ def main(argv: Sequence[str] | None = None) -> int:
         a = arguments(sys.argv[1:] if argv is None else argv)
     except (SystemExit, BadRequest):
         return 1
+    try:
+        lines = _asked(a) if a.server else _opened(a)
+    except (AccessDenied, Unauthorized) as e:
+        print(e, file=sys.stderr)
+        return 3
+    except EngineError as e:
+        print(e, file=sys.stderr)
+        return 2
+    print("\n".join(lines))
+    return 0 if lines else 4
+
+
+def _types(a: argparse.Namespace) -> list[str]:
+    return [t for t in a.media_types.split(",") if t]
+
+
+def _asked(a: argparse.Namespace) -> list[str]:
+    """A service's hits, as JSON or as one line each."""
+    from .service import Client
+
+    hits = [h for h in Client(a.server, a.token).search(a.query, a.limit, a.media_only, _types(a)) if h["path"].startswith(a.path)]
+    return [json.dumps(h, ensure_ascii=False) if a.json else f"{i}. {h['score_normalized']:.2f}  {h['path']}  {h['snippet']}" for i, h in enumerate(hits, 1)]
+
+
+def _opened(a: argparse.Namespace) -> list[str]:
     from pyspark.sql import SparkSession
 
     from .operators import search as S
@@ -56,19 +78,16 @@ def main(argv: Sequence[str] | None = None) -> int:
     from .sources.store import Store
 
     spark = ship(SparkSession.builder.appName("lodestone").getOrCreate())
-    try:
-        index = Store(spark, a.index).index()
-        hits = S.search(index, a.query, embed.Fake(index.dim).query(a.query).tolist(), a.limit, media_only=a.media_only, media_types=[t for t in a.media_types.split(",") if t])
-        hits = S.prefix_filter(hits, a.path) if a.path else hits
-        lines = [r[0] for r in (S.response(hits) if a.json else rendered(hits)).collect()]
-    except Unauthorized:
-        return 3
-    except EngineError as e:
-        print(e, file=sys.stderr)
-        return 2
-    print("\n".join(lines))
-    return 0 if lines else 4
+    store = Store(spark, a.index)
+    index, meta = store.index(), store.meta()
+    provider = a.provider or meta.get("embedding_provider", "")
+    _, embedder = embed.create(provider, meta.get("embedding_model", ""), index.dim, dict(os.environ))
+    hits = S.search(index, a.query, embedder.query(a.query).tolist(), a.limit, media_only=a.media_only, media_types=_types(a))
+    hits = S.prefix_filter(hits, a.path) if a.path else hits
+    return [r[0] for r in (S.response(hits) if a.json else rendered(hits)).collect()]
+
 
+__all__ = ["arguments", "authorised", "main", "rendered"]
 
 if __name__ == "__main__":
     sys.exit(main())

@@ -29,6 +29,17 @@ def relative_paths(root: str) -> Iterator[tuple[str, int]]:
                     yield rel, e.stat().st_size
 
 
+def relative_inside(root: str, candidate: str) -> str | None:
+    """The path of `candidate`, links resolved, from the root; None if it does not exist or lies outside."""
+    base = os.path.realpath(root)
+    try:
+        real = os.path.realpath(candidate, strict=True)
+    except OSError:
+        return None
+    rel = os.path.relpath(real, base)
+    return None if rel == os.pardir or rel.startswith(os.pardir + os.sep) or os.path.isabs(rel) else rel.replace(os.sep, "/")
+
+
 def listing(spark: SparkSession, root: str, options: MediaOptions | None = None) -> DataFrame:
     """path, media_type and size of the eligible files."""
     o = options or MediaOptions()
@@ -40,17 +51,33 @@ def listing(spark: SparkSession, root: str, options: MediaOptions | None = None)
 def scan(spark: SparkSession, root: str, options: MediaOptions | None = None) -> DataFrame:
     """path, media_type, mtime_ns, content and content_hash of the eligible files, in order of path.
 
-    `root` is a folder that the executors can open."""
+    `root` is a folder that the executors can open.  A file that cannot be read has no content but an `error`; one that
+    is gone by now is left out."""
+    return scan_paths(listing(spark, root, options).select("path", "media_type"), root, options)
+
+
+def scan_paths(found: DataFrame, root: str, options: MediaOptions | None = None) -> DataFrame:
+    """The same of given eligible files (path, media_type)."""
     o, base = options or MediaOptions(), os.path.realpath(root)
 
+    def one(path: str, kind: str) -> tuple | None:
+        try:
+            name = os.path.join(base, path)
+            if relative_inside(base, name) is None:
+                return None
+            with open(name, "rb") as f:
+                return path, kind, os.fstat(f.fileno()).st_mtime_ns, f.read(), None
+        except FileNotFoundError:
+            return None
+        except OSError as e:
+            return path, kind, 0, None, f"{type(e).__name__}: {e.strerror}"
+
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            names = [os.path.join(base, p) for p in f["path"]]
-            f = f.assign(mtime_ns=[os.stat(n).st_mtime_ns for n in names], content=[open(n, "rb").read() for n in names])
-            yield f[["path", "media_type", "mtime_ns", "content"]]
+            rows = [r for p, k in zip(f["path"], f["media_type"], strict=True) if (r := one(p, k))]
+            yield pd.DataFrame(rows, columns=["path", "media_type", "mtime_ns", "content", "error"])
 
-    found = listing(spark, root, o).select("path", "media_type")
-    rows = found.mapInPandas(read, "path string, media_type string, mtime_ns long, content binary")
+    rows = found.mapInPandas(read, "path string, media_type string, mtime_ns long, content binary, error string")
     return rows.withColumn("content_hash", policy.effective_hash(F.col("content"), F.col("media_type"), o)).orderBy("path")
 
 
