@@ -32,6 +32,9 @@ def normalised(v: Column) -> Column:
 
 def centroid(vectors: DataFrame, by: list[str], column: str = "embedding", dim: int | None = None) -> DataFrame:
     """Element-wise mean of each group's vectors of the right length, as `centroid`."""
-    rows = vectors.filter(F.size(column) == dim) if dim else vectors
+    if dim:
+        # One row of sums a task and group is exchanged, not a row for each component.
+        return vectors.filter(F.size(column) == dim).groupBy(*by).agg(F.array(*[F.avg(F.get(column, F.lit(i)).cast("double")) for i in range(dim)]).alias("centroid"))
+    rows = vectors
     means = rows.select(*by, F.posexplode(column).alias("__i", "__x")).groupBy(*by, "__i").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
     return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"]).alias("centroid"))

@@ -15,7 +15,7 @@ HEADING = r"(?s)^[ \t]*(#{1,6})(?:[ \t].*)?\z"
 MARKED = r"^[ \t]*(#|```|~~~)"
 _STARTS = "array<struct<at:int,level:int,text:string>>"
 _SECTIONS = "array<struct<at:int,heading:string,path:string>>"
-_CHUNKS = "array<struct<heading:string,heading_path:string,content:string>>"
+_CHUNKS = "array<struct<heading:string,heading_path:string,content:string,tokens:int>>"
 
 
 def window_starts(n: Column, size: int, overlap: int) -> Column:
@@ -26,7 +26,9 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 
 
 def windows(w: Column, size: int, overlap: int) -> Column:
-    return let(w, lambda w: F.transform(window_starts(F.size(w), size, overlap), lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " ")))
+    """Windows of words, as text and number of words."""
+    one = lambda w, s: F.struct(F.array_join(F.slice(w, s + 1, F.lit(size)), " ").alias("text"), F.least(F.lit(size), F.size(w) - s).alias("n"))
+    return let(w, lambda w: F.transform(window_starts(F.size(w), size, overlap), lambda s: one(w, s)))
 
 
 def heading_text(line: Column) -> Column:
@@ -70,17 +72,18 @@ def _sections(starts: Column) -> Column:
 
 def _chunks(section: Column, size: int, overlap: int) -> Column:
     """A section's chunks: itself, or windows of its body under its heading line."""
-    chunk = lambda text: F.struct(section.heading.alias("heading"), section.path.alias("heading_path"), text.alias("content"))
+    chunk = lambda text, n: F.struct(section.heading.alias("heading"), section.path.alias("heading_path"), text.alias("content"), n.cast("int").alias("tokens"))
 
     def cut(content: Column) -> Column:
         newline = F.instr(content, "\n")
         peel = (section.heading != "") & (newline > 0)
         head = F.when(peel, F.substring(content, F.lit(1), newline)).otherwise(F.lit(""))
         body = F.when(peel, F.substring(content, newline + 1, F.length(content))).otherwise(content)
-        return let(head, lambda head: F.transform(windows(words(body), size, overlap), lambda w: chunk(F.concat(head, w))))
+        counted = F.struct(head.alias("text"), F.size(words(head)).alias("n"))
+        return let(counted, lambda head: F.transform(windows(words(body), size, overlap), lambda w: chunk(F.concat(head.text, w.text), head.n + w.n)))
 
     def whole_or_cut(content: Column) -> Column:
-        return let(F.size(words(content)), lambda n: F.when(n == 0, F.array().cast(_CHUNKS)).when(n <= size, F.array(chunk(content))).otherwise(cut(content)))
+        return let(F.size(words(content)), lambda n: F.when(n == 0, F.array().cast(_CHUNKS)).when(n <= size, F.array(chunk(content, n))).otherwise(cut(content)))
 
     return let(trim_end(section.text), whole_or_cut)
 
@@ -103,9 +106,11 @@ def chunked(docs: DataFrame, text: str = "text", size: int = CHUNK_WORDS, overla
         return F.transform(sections, one)
 
     sections = let(lines, lambda l: let(let(_starts(l), _sections), lambda s: with_text(l, s)))
-    every = F.flatten(F.transform(sections, lambda s: _chunks(s, size, overlap)))
+    # A text without a line that a heading or fence could begin is one section, and needs no lines.
+    whole = F.struct(F.lit("").alias("heading"), F.lit("").alias("path"), F.col(text).alias("text"))
+    every = F.when(F.col(text).rlike(f"(?m){MARKED}"), F.flatten(F.transform(sections, lambda s: _chunks(s, size, overlap)))).otherwise(let(whole, lambda s: _chunks(s, size, overlap)))
     d = docs.filter(F.col(text) != "").select(*others, F.posexplode(every).alias("chunk_idx", "__c"))
     return d.select(
         *others, F.col("chunk_idx").cast("long").alias("chunk_idx"), "__c.heading", "__c.heading_path", "__c.content",
-        F.sha2("__c.content", 256).alias("content_hash"), F.size(words(F.col("__c.content"))).cast("long").alias("tokens"),
+        F.sha2("__c.content", 256).alias("content_hash"), F.col("__c.tokens").cast("long").alias("tokens"),
     )

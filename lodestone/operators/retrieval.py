@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,19 +67,52 @@ QUERY_BLOCK = 4096
 def knn_batch(vecs: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
     """The k nearest rows of each of a stated set of queries: query_id, id, distance, rank.
 
-    The queries go to the rows in blocks of bounded size, as one array a task, and each row is scored in place; ranks are
-    cut per task before the shuffle."""
-    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
+    The queries go to the tasks in blocks of bounded size, as one matrix, and a task scores its rows batch by batch with a
+    product of matrices, keeping the best k of each query; only these are exchanged.  Vectors that are null, zero or of
+    another length than the query have no distance and come last."""
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).alias("v"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), id_col)
+    context, rows = vecs.sparkSession.sparkContext, vecs.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     parts = []
     for i in range(blocks):
-        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
-        q = own.agg(F.collect_list(F.struct("q", "v")).alias("__q"))
-        pairs = F.transform("__q", lambda s: F.struct(s.q.alias("q"), vectors.cosine_distance(F.col(vector_col), s.v).alias("d")))
-        scored = vecs.select(id_col, vector_col).crossJoin(F.broadcast(q)).select(id_col, F.explode(pairs).alias("__s"))
-        parts.append(scored.select(F.col("__s.q").alias("query_id"), id_col, F.col("__s.d").alias("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
-    return functools.reduce(DataFrame.unionByName, parts)
+        own = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)).collect()
+        held = context.broadcast(([r["q"] for r in own], [r["v"] for r in own]))
+        parts.append(rows.mapInArrow(functools.partial(_nearest_of_batches, held, k), "query_id long, id long, distance double"))
+    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "id")
+    best = functools.reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.select("query_id", F.col("id").alias(id_col), "distance", "rank")
+
+
+def _nearest_of_batches(held: Broadcast, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows, the k nearest of each query of a block."""
+    names, queries = held.value
+    groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # queries by length: their places, and unit vectors
+    for d in {len(v or ()) for v in queries}:
+        at = np.array([i for i, v in enumerate(queries) if len(v or ()) == d])
+        m = np.array([queries[i] for i in at], dtype=np.float64).reshape(len(at), d) if d else np.zeros((len(at), 0))
+        groups[d] = at, _unit(m)
+    ids, scores = np.zeros((len(names), 0), dtype=np.int64), np.zeros((len(names), 0))
+    for batch in batches:
+        own, column = batch.column(0).to_numpy(), batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+        found = np.full((len(names), len(own)), np.inf)
+        for d, (at, q) in groups.items():
+            rows = np.flatnonzero(sizes == d)
+            if d and len(rows):
+                m = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), d)
+                found[np.ix_(at, rows)] = np.nan_to_num(1 - q @ _unit(m).T, nan=np.inf)
+        ids, scores = np.concatenate([ids, np.broadcast_to(own, found.shape)], axis=1), np.concatenate([scores, found], axis=1)
+        order = np.lexsort((ids, scores), axis=1)[:, :k]
+        ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+    if ids.size:
+        flat = scores.reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names), ids.shape[1])), pa.array(ids.reshape(-1)), pa.array(flat, mask=np.isinf(flat))], names=["query_id", "id", "distance"])
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows over their length; those of zero vectors hold no number."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
 # Full text
