@@ -18,7 +18,7 @@ from ..operators import search as S
 from ..operators.chunking import chunked
 from ..sources import embed, ingest, policy
 from ..sources.listing import text_of
-from ..sources.store import fingerprint
+from ..sources.store import fingerprint_of
 from ..streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,7 +445,25 @@ def media_only_by_distance(spark, sf):
     return rounded(S.search(index(spark, sf), ASKED, query_vector(spark, sf), display=Display(lane=LANE), media_only=True))
 
 
-@query()
+_NEAR = _ALONE.replace("@types", "(1, 2, 3, 4)").split(f"{_Q7}, ")[1]
+_LANE_SQL = f"""WITH RECURSIVE {_FUSED}, {_NEAR},
+top AS (SELECT chunk_id, s, media_type FROM idx JOIN fused USING (chunk_id) ORDER BY s DESC, chunk_id LIMIT 10),
+r AS (SELECT list({{'id': chunk_id, 'txt': media_type = 'text'}} ORDER BY s DESC, chunk_id) AS l, count(*) AS n, count(*) FILTER (media_type = 'text') AS n_text FROM top),
+m AS (SELECT list({{'id': chunk_id, 'txt': false}} ORDER BY d, chunk_id) AS l, count(*) AS n FROM near JOIN idx USING (chunk_id) WHERE media_type <> 'text' AND d <= CAST(1.0 AS FLOAT) AND chunk_id NOT IN (SELECT chunk_id FROM top)),
+slots AS (SELECT least(greatest(10 - r.n, 0) + r.n_text, m.n, 5) AS n FROM r, m),
+put(i, l) AS (
+  SELECT CAST(0 AS BIGINT), l FROM r
+  UNION ALL
+  SELECT i + 1, list_concat(list_concat(roomy[1 : place], list_value(list_extract(m.l, i + 1))), roomy[place + 1 :])
+  FROM (SELECT i, roomy, least(CAST(ceil(10.0 / slots.n) AS BIGINT) * (i + 1) - 1, len(roomy)) AS place FROM (
+    SELECT i, CASE WHEN len(l) < 10 THEN l ELSE list_concat(l[1 : last - 1], l[last + 1 :]) END AS roomy FROM (SELECT i, l, list_max(list_transform(range(1, len(l) + 1), lambda k: CASE WHEN l[k].txt THEN k END)) AS last FROM put)), slots WHERE i < slots.n), m),
+woven AS (SELECT unnest(l).id AS chunk_id FROM (SELECT l FROM put ORDER BY i DESC LIMIT 1)),
+shown AS ({sql_hits('fused', 10)}),
+lane AS ({sql_hits('near', 30, media=_SPREAD)})
+SELECT * FROM shown WHERE chunk_id IN (SELECT chunk_id FROM woven) UNION ALL SELECT * FROM lane WHERE chunk_id IN (SELECT chunk_id FROM woven) AND chunk_id NOT IN (SELECT chunk_id FROM top)"""
+
+
+@query(_LANE_SQL)
 def media_lane_search(spark, sf):
     return rounded(S.search(index(spark, sf), ASKED, query_vector(spark, sf), display=Display(lane=LANE)))
 
@@ -454,9 +472,30 @@ def _like(spark, sf) -> str:
     return documents(spark, sf).join(table(spark, sf, "embeddings").filter("label % 5 = 0 AND vec_id % 1000 > 1").select(F.col("vec_id").alias("doc_id")), "doc_id").orderBy("doc_id").select("path").first()[0]
 
 
-@query()
+_SIMILAR_SQL = rf"""WITH {INDEX_SQL},
+chosen AS (SELECT path FROM docs WHERE doc_id = (SELECT min(doc_id) FROM documents JOIN embeddings ON vec_id = doc_id WHERE label % 5 = 0 AND vec_id % 1000 > 1)),
+own AS (SELECT * FROM idx WHERE path = (SELECT path FROM chosen)),
+bag AS (SELECT coalesce(string_agg(content || ' ', '' ORDER BY chunk_idx), '') AS x FROM (SELECT * FROM own WHERE media_type = 'text' ORDER BY chunk_idx LIMIT 4)),
+ph AS (SELECT p, count(*) AS times FROM (
+  SELECT unnest(list_transform(list_filter(regexp_extract_all(x, '[\p{{L}}\p{{N}}_-]+'), lambda k: strlen(k) > 1), lambda k: regexp_extract_all(strip_accents(lower(k)), '[\p{{L}}\p{{N}}]+'))) AS p FROM bag) WHERE len(p) > 0 GROUP BY p),
+tf AS (
+  SELECT chunk_id, [term] AS p, count(*) AS f FROM (SELECT chunk_id, unnest(t) AS term FROM terms) WHERE term IN (SELECT p[1] FROM ph WHERE len(p) = 1) GROUP BY chunk_id, term
+  UNION ALL
+  SELECT * FROM (SELECT chunk_id, p, len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i : i + len(p) - 1] = p)) AS f FROM terms, (SELECT p FROM ph WHERE len(p) > 1) WHERE list_contains(t, p[1])) WHERE f > 0),
+df AS (SELECT p, count(*) AS d FROM tf GROUP BY p),
+bm AS (SELECT chunk_id, -sum(times * CASE WHEN (n - d + 0.5) / (d + 0.5) > 1 THEN ln((n - d + 0.5) / (d + 0.5)) ELSE 1e-6 END * (f * 2.2) / (f + 1.2 * (0.25 + 0.75 * dl / mean))) AS score
+  FROM tf JOIN ph USING (p) JOIN df USING (p) JOIN (SELECT chunk_id, len(t) AS dl FROM terms) USING (chunk_id), stats GROUP BY chunk_id HAVING count(*) = (SELECT count(*) FROM ph)),
+mean AS (SELECT i, avg(x) AS x FROM (SELECT unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings WHERE vec_id * 1000 IN (SELECT chunk_id FROM own)) GROUP BY i),
+q AS (SELECT list(CAST(x / (SELECT sqrt(sum(x * x)) FROM mean) AS FLOAT) ORDER BY i) AS v FROM mean),
+v AS (SELECT chunk_id, row_number() OVER (ORDER BY d, chunk_id) AS v_rank FROM (SELECT vec_id * 1000 AS chunk_id, {sql_distance('embedding', 'v')} AS d FROM embeddings, q) ORDER BY d, chunk_id LIMIT 30),
+b AS (SELECT chunk_id, row_number() OVER (ORDER BY score, chunk_id) AS b_rank FROM bm ORDER BY score, chunk_id LIMIT 30),
+fused AS (SELECT chunk_id, v_rank, b_rank, coalesce(1.0::DOUBLE / (60 + v_rank), 0) + coalesce(1.0::DOUBLE / (60 + b_rank), 0) AS s FROM v FULL JOIN b USING (chunk_id))
+{sql_hits('fused', 10, where='path <> (SELECT path FROM chosen)')}"""
+
+
+@query(_SIMILAR_SQL)
 def similar_path(spark, sf):
-    """Its AND of all terms of up to four chunks is a query of its own for each path; tests hold it against brute force."""
+    """Documents like the first one with text and an embedding."""
     return rounded(S.similar(index(spark, sf), _like(spark, sf)))
 
 
@@ -596,40 +635,107 @@ def migrate_relative_paths(spark, sf):
     return ingest.relativised(_absolute(spark, sf), "/vault")
 
 
-@query(f"SELECT 2 * count(*) FILTER (starts_with(path, '/') AND NOT starts_with(path, '/vault/')) AS offenders FROM ({_ABSOLUTE})")
+_STORED = "SELECT CASE page_id % 5 WHEN 0 THEN '/vault/p/' || page_id WHEN 1 THEN '/vault' WHEN 2 THEN '/elsewhere/' || page_id ELSE 'p/' || page_id END AS path FROM pages"
+
+
+@query(f"SELECT count(*) FILTER (starts_with(path, '/') AND NOT starts_with(path, '/vault/')) AS offenders FROM (SELECT path FROM ({_ABSOLUTE}) UNION ALL {_STORED})")
 def offender_count(spark, sf):
-    rows = _absolute(spark, sf)
-    return ingest.offenders(rows, rows, "/vault/")
+    files = table(spark, sf, "pages").select(F.expr(_STORED[len("SELECT ") : _STORED.index(" AS path")]).alias("path"))
+    return ingest.offenders(_absolute(spark, sf), files, "/vault/")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'fresh' WHEN doc_id % 4 = 1 THEN 'match' ELSE 'mismatch' END AS outcome FROM documents")
+@query("""SELECT doc_id, CASE WHEN provider IS NULL OR model IS NULL OR dim IS NULL THEN 'fresh' WHEN provider = 'src1' AND model = 'en' AND dim = '1' THEN 'match' ELSE 'mismatch' END AS outcome
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN source END AS provider, CASE WHEN doc_id % 7 > 0 THEN lang END AS model, CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id % 3 AS VARCHAR) END AS dim FROM documents)""")
 def fingerprint_check(spark, sf):
-    """The guard is a driver-side rule on three values; each row shows one of its cases."""
-    def outcome(i: int) -> str:
-        meta = {"embedding_provider": "fake", "embedding_model": "m", "embedding_dim": "64"}
-        return fingerprint({} if i == 0 else meta, "fake", "m" if i < 3 else "other", 64 if i != 2 else 65)
-
-    cases = F.array(*[F.lit(outcome(i)) for i in range(4)])
-    return table(spark, sf, "documents").select("doc_id", F.element_at(cases, (F.col("doc_id") % 4 + 1).cast("int")).alias("outcome"))
+    """The guard over the settings of many indexes: a row is what one has stored."""
+    i = F.col("doc_id")
+    stored = table(spark, sf, "documents").select("doc_id", F.when(i % 5 > 0, F.col("source")).alias("provider"), F.when(i % 7 > 0, F.col("lang")).alias("model"), F.when(i % 3 > 0, (i % 3).cast("string")).alias("dim"))
+    return stored.select("doc_id", fingerprint_of(F.col("provider"), F.col("model"), F.col("dim"), "src1", "en", 1).alias("outcome"))
 
 
-@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+@query("""SELECT doc_id, CASE WHEN len(k) > 0 THEN t[1 : k[1]] ELSE '' END AS text
+FROM (SELECT doc_id, t, list_filter(range(0, length(t) + 1), lambda k: strlen(t[1 : k]) = least(strlen(t), 3 + doc_id % 37)) AS k FROM (SELECT doc_id, coalesce(text, '')[1:60] AS t FROM documents))""")
 def utf8_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text_of("text").alias("text"))
+    """Bytes that are cut anywhere: where a character is cut through, they are no UTF-8, and there is no text."""
+    t = F.substring(F.coalesce("text", F.lit("")), 1, 60).cast("binary")
+    cut = table(spark, sf, "documents").select("doc_id", F.substring(t, F.lit(1), (3 + F.col("doc_id") % 37).cast("int")).alias("data"))
+    return cut.select("doc_id", text_of("data").alias("text"))
+
+
+#: First bytes of formats, of near misses, and of nothing known.
+_HEADS = ("255044462D312E37", "89504E470D0A1A0A0000", "FFD8FFE000104A464946", "474946383961", "474946383761", "524946460000000057454250", "5249464600000000574156450000", "255064662D", "89504E470D0A1A", "")
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/gif' END AS mime FROM pages")
+@query(f"SELECT page_id, [{', '.join(['NULL' if m is None else repr(m) for m in ('application/pdf', 'image/png', 'image/jpeg', 'image/gif', 'image/gif', 'image/webp', None, None, None, None)])}][page_id % 10 + 1] AS mime FROM pages")
 def media_sniff(spark, sf):
-    i = F.col("page_id")
-    data = F.concat(F.when(i % 4 == 0, F.lit("%PDF-")).when(i % 4 == 1, F.lit("GIF89a")).when(i % 4 == 2, F.lit("%pdf-")).otherwise(F.lit("")), F.coalesce("html", F.lit("")))
-    return table(spark, sf, "pages").select("page_id", policy.sniffed(data.cast("binary")).alias("mime"))
+    heads = F.array(*[F.lit(h) for h in _HEADS])
+    data = F.concat(F.unhex(F.element_at(heads, (F.col("page_id") % 10 + 1).cast("int"))), F.coalesce("html", F.lit("")).cast("binary"))
+    return table(spark, sf, "pages").select("page_id", policy.sniffed(data).alias("mime"))
 
 
-@query()
+_FAKE_SQL = r"""WITH t AS (SELECT DISTINCT sha256(text) AS content_hash, coalesce(text, '') AS content FROM documents WHERE text IS NOT NULL),
+h AS (SELECT content_hash, b, sha256('document\x00text\x00'::BLOB || encode(content) || unhex(printf('%02x', b * 8) || '00000000000000')) AS x FROM t, (SELECT unnest(range(0, 8)) AS b)),
+v AS (SELECT content_hash, b * 8 + k AS i, CAST((CASE WHEN n > 32767 THEN n - 65536 ELSE n END) / 32768.0::DOUBLE AS FLOAT) AS x FROM (SELECT content_hash, b, k, CAST('0x' || x[4 * k + 1 : 4 * k + 4] AS INTEGER) AS n FROM h, (SELECT unnest(range(0, 8)) AS k))),
+s AS (SELECT content_hash, CAST(sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS FLOAT) AS s FROM v GROUP BY 1)
+SELECT content_hash, CAST(i AS BIGINT) AS i, round(CAST(x / s AS DOUBLE), 6) + 0.0 AS x FROM v JOIN s USING (content_hash)"""
+
+
+@query(_FAKE_SQL)
 def fake_embed(spark, sf):
-    """Deterministic vectors from hashes of the texts; tests hold them against fixed values."""
-    d = table(spark, sf, "documents").select(F.sha2("text", 256).alias("content_hash"), F.coalesce("text", F.lit("")).alias("content")).dropDuplicates(["content_hash"])
-    return embed.embedded(d, embed.Fake(64)).select("content_hash", F.size("embedding").alias("dim"), r6(vectors.norm(F.col("embedding"))).alias("norm"))
+    """Deterministic vectors from hashes of the texts."""
+    d = table(spark, sf, "documents").filter("text IS NOT NULL").select(F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content")).dropDuplicates(["content_hash"])
+    return embed.embedded(d, embed.Fake(64)).select("content_hash", F.posexplode("embedding").alias("i", "x")).select("content_hash", F.col("i").cast("long").alias("i"), r6(F.col("x").cast("double")).alias("x"))
+
+
+@query("""SELECT page_id, sha256(CAST(encode('media-v1') || '\\x00'::BLOB || encode('image') || '\\x00'::BLOB || encode('multipart') || '\\x00'::BLOB
+  || '\\x01\\x00\\x00\\x00\\x00\\x00\\x00\\x00\\x09\\x00\\x00\\x00\\x00\\x00\\x00\\x00'::BLOB || encode('image/png') || unhex(z[7:8] || z[5:6] || z[3:4] || z[1:2] || '00000000') || encode(h) AS BLOB)) AS cache_key
+FROM (SELECT page_id, coalesce(html, '') AS h, printf('%08x', strlen(coalesce(html, ''))) AS z FROM pages)""")
+def media_cache_key(spark, sf):
+    return table(spark, sf, "pages").select("page_id", policy.cache_key_of("image", "image/png", F.coalesce("html", F.lit("")).cast("binary")).alias("cache_key"))
+
+
+@query(f"SELECT path, kind FROM (SELECT p AS path, kind, is_file, {_KIND} AS k, {_SAFE} AS safe FROM (SELECT {_PATH} AS p, ['create', 'modify', 'remove', 'access'][doc_id % 4 + 1] AS kind, doc_id % 13 > 0 AS is_file FROM documents)) WHERE safe AND k IS NOT NULL AND kind <> 'access' AND (kind = 'remove' OR is_file)")
+def watch_relevance(spark, sf):
+    i = F.col("doc_id")
+    kinds = F.array(*map(F.lit, ("create", "modify", "remove", "access")))
+    events = _files(spark, sf).select("path", F.element_at(kinds, (i % 4 + 1).cast("int")).alias("kind"), (i % 13 > 0).alias("is_file"))
+    return feed.relevant(events, options=MediaOptions(enabled=True)).select("path", "kind")
+
+
+@query(f"SELECT path FROM ({_DIFF}) WHERE status <> 'unchanged' UNION SELECT source || '/' || lang || '/' || doc_id || '.txt' FROM documents WHERE doc_id IN (SELECT user_id FROM events)")
+def dirty_union(spark, sf):
+    scan, files = _states(spark, sf)
+    touched = documents(spark, sf).join(table(spark, sf, "events").select(F.col("user_id").alias("doc_id")), "doc_id", "left_semi")
+    return feed.dirty_union(ingest.dirty(scan, files), ingest.pruned(scan, files), touched)
+
+
+@query(f"SELECT epoch_ms(max(ts)) AS last_change_ms FROM {_EVENTS} WHERE kind IN ('purchase', 'error')")
+def last_change(spark, sf):
+    return feed.last_change(feed.relevant(_events(spark, sf), ("purchase", "error")))
+
+
+_HEADED = "en that"
+
+
+_HEADED_SQL = INDEX_SQL.replace("lower(content)", "lower(content || ' ' || heading)").replace("SELECT c.*,", "SELECT c.*, split_part(path, '/', 1) || ' ' || split_part(path, '/', 2) AS heading,")
+
+
+@query(f"WITH {_HEADED_SQL}, {sql_bm25(R.phrases_of(_HEADED))} SELECT chunk_id, round(score, 6) + 0.0 AS score FROM bm ORDER BY bm.score, chunk_id LIMIT 30")
+def bm25_heading(spark, sf):
+    """Ranking with a heading column: source and language stand in for it."""
+    return R.bm25(_headed(spark, sf, False), R.phrases_of(_HEADED), 30).withColumn("score", r6(F.col("score")))
+
+
+def _headed(spark, sf, stem: bool) -> DataFrame:
+    part = lambda n: F.split_part("path", F.lit("/"), F.lit(n))
+    c = index(spark, sf).chunks.filter("media_type = 'text'").withColumn("heading_path", F.concat_ws(" ", part(1), part(2)))
+    return R.indexed(c, stem=stem)
+
+
+@query()
+def bm25_stemmed(spark, sf):
+    """The same on stems.  SQL has no stemmer here; a test holds it against brute force."""
+    return R.bm25(_headed(spark, sf, True), R.phrases_of("handing thats en", True), 30).withColumn("score", r6(F.col("score")))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT path, chunk_idx, content FROM chunks WHERE path = (SELECT min(path) FROM docs)")

@@ -267,3 +267,10 @@ def fingerprint(meta: dict[str, str], provider: str, model: str, dim: int) -> st
     """fresh if any part is missing, match if all are equal, else mismatch."""
     was = [meta.get(k) for k in ("embedding_provider", "embedding_model", "embedding_dim")]
     return "fresh" if None in was else "match" if was == [provider, model, str(dim)] else "mismatch"
+
+
+def fingerprint_of(stored_provider: Column, stored_model: Column, stored_dim: Column, provider: str, model: str, dim: int) -> Column:
+    """The same rule over rows of stored settings."""
+    known = stored_provider.isNotNull() & stored_model.isNotNull() & stored_dim.isNotNull()
+    same = (stored_provider == provider) & (stored_model == model) & (stored_dim == str(dim))
+    return F.when(~known, "fresh").when(same, "match").otherwise("mismatch")

@@ -1,4 +1,5 @@
 import math
+import re
 import sqlite3
 
 import pytest
@@ -234,3 +235,31 @@ def test_response_leaves_out_nulls(index):
 def test_error_envelopes():
     assert envelope(BadRequest("x"))[0] == 400 and envelope(PathNotIndexed("x"))[0] == 404
     assert envelope(RuntimeError("secret")) == (500, {"error": {"code": "internal", "message": "internal error"}})
+
+
+def test_stemmed_ranking_with_headings(spark):
+    """Stems in content and heading, by a plain reading of the formula."""
+    from lodestone.functions.porter import stem
+
+    rows = [(1, "running dogs run", "Dogs"), (2, "the runner ran", "cats and dogs"), (3, "a run of dogs, dogged", None), (4, "nothing", "run"), (5, None, "dog run")]
+    got = {r.chunk_id: r.score for r in R.bm25(R.indexed(spark.createDataFrame(rows, "chunk_id long, content string, heading_path string"), stem=True), R.phrases_of("runs dog", True), 10).collect()}
+    terms = {i: [stem(w) for x in (c, h) for w in re.findall("[a-z]+", (x or "").lower())] for i, c, h in rows}
+    mean, want = sum(map(len, terms.values())) / len(terms), {}
+    asked = [stem("runs"), stem("dog")]
+    assert asked == ["run", "dog"]
+    for i, t in terms.items():
+        if all(a in t for a in asked):
+            score = 0.0
+            for a in asked:
+                n = sum(a in x for x in terms.values())
+                weight = max(1e-6, math.log((len(terms) - n + 0.5) / (n + 0.5)))
+                score -= weight * t.count(a) * 2.2 / (t.count(a) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+            want[i] = score
+    assert set(got) == set(want) == {1, 3, 5} and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_batch_of_odd_vectors(spark):
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0, 1.0]), (5, [0.0, 2.0]), (6, [1.0, 0.0])], "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(7, [2.0, 0.0]), (8, None), (9, [0.0, 0.0, 1.0])], "query_id long, query array<float>")
+    got = [(r.query_id, r.chunk_id, None if r.distance is None else round(r.distance, 6)) for r in R.knn_batch(vecs, asked, 3).orderBy("query_id", "rank").collect()]
+    assert got == [(7, 1, 0.0), (7, 6, 0.0), (7, 5, 1.0), (8, 1, None), (8, 2, None), (8, 3, None), (9, 4, round(1 - 1 / 3**0.5, 6)), (9, 1, None), (9, 2, None)]
