@@ -31,7 +31,8 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.deduplicated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    out = suffixes.deduplicated(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return out.drop("removed")  # not in the SQL
 
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY).withColumnRenamed("id", "doc_id")
 
 
+#: Strings of 50 bytes as 100 hexadecimal digits, in blocks of 256 places, since places far into a text are slow to reach.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS x FROM documents),
+o AS (SELECT doc_id, j, substr(x, 512 * j + 1, 610) AS x FROM (SELECT doc_id, x, unnest(range(0, CAST(len(x) AS BIGINT), 512) ) // 512 AS j FROM d WHERE len(x) >= 100)),
+w AS (SELECT doc_id, 256 * j + p AS p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, j, x, unnest(range(0, least(256, CAST(len(x) / 2 AS BIGINT) - 49))) AS p FROM o WHERE len(x) >= 100)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1),
+h AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE first < doc_id),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS opens FROM h),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS e FROM (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS n FROM g) GROUP BY doc_id, n),
+k AS (SELECT doc_id, e AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS e FROM r UNION ALL SELECT doc_id, 0, min(a) FROM r GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(x[2 * a + 1 : coalesce(2 * e, len(x))], '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(e - a) AS n, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH b AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
@@ -90,5 +107,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesc
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h),
+z AS (SELECT d.*, first, array_to_string(list_transform(string_split(h, ''), lambda c: lpad(bin(CAST('0x' || c AS INTEGER)), 4, '0')), '') AS bits FROM d JOIN f USING (h))
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST('0b' || substr(bits, 5 * j + 1, 5) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM z
+"""
+
 QUERIES = {"op1_ann": op1_ann, "op2_html": op2_html, "op3_neardup": op3_neardup, "op4_suffixes": op4_suffixes, "op5_decontam": op5_decontam, "op6_warc": op6_warc, "op7_langid": op7_langid, "op8_secrets": op8_secrets, "op9_quality": op9_quality, "op10_packing": op10_packing}
-ORACLE_SQL = {"op5_decontam": OP5_SQL}
+ORACLE_SQL = {"op4_suffixes": OP4_SQL, "op5_decontam": OP5_SQL, "op6_warc": OP6_SQL}
