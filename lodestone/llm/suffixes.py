@@ -38,7 +38,7 @@ SPREAD = LENGTH - SEED + 1  # places of the anchor in a string
 LEFT = SPREAD - 1
 #: Bytes of text to a chunk, of text whose anchors make one range, and of text that is worked on at once.
 CHUNK = 8 << 20
-RANGE = 24 << 20
+RANGE = 12 << 20
 SLICE = 1 << 19
 _RECORD = LENGTH + LEFT + 2
 #: Low bits of a hash that give way to the place in a slice.
@@ -176,22 +176,30 @@ def front_coded(records: np.ndarray) -> tuple[bytes, bytes]:
 class Run:
     """A front-coded run, read record by record."""
 
+    __slots__ = ("at", "common", "head", "i", "rest", "shares")
+
     def __init__(self, common: bytes, rest: bytes):
         self.common, self.rest, self.i, self.at, self.head, self.shares = common, rest, -1, 0, b"", 0
         self.step()
 
     def step(self) -> None:
         """To the next record; `shares` is then what it has in common with the last, `head` None at the end."""
-        self.i += 1
-        if self.i >= len(self.common):
+        self.i = i = self.i + 1
+        if i >= len(self.common):
             self.head = None
             return
-        c = self.common[self.i]
-        self.head = self.head[:c] + self.rest[self.at : self.at + _RECORD - c]
-        self.at += _RECORD - c
+        c, at = self.common[i], self.at
+        self.at = end = at + _RECORD - c
+        self.head = self.head[:c] + self.rest[at:end]
         self.shares = c
 
 
+def _prefix(s: bytes, t: bytes, k: int) -> int:
+    """The length of the common prefix of two different records that share their first k bytes."""
+    differ = int.from_bytes(s[k:], "big") ^ int.from_bytes(t[k:], "big")
+    return _RECORD - (differ.bit_length() + 7) // 8
+
+
 def merged(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
     """Loser-tree merge: for each record in order, its run, its place there, and what it shares with the one before.
 
@@ -202,65 +210,81 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
         size *= 2
     tree = [-1] * size
 
-    def play(a: int, b: int) -> tuple[int, int]:
-        """Winner and loser."""
-        if a < 0 or runs[a].head is None:
-            return b, a
-        if b < 0 or runs[b].head is None:
-            return a, b
+    def first(a: int, b: int) -> bool:
+        """Whether head a comes first of two runs' heads; the other then knows what it shares with it."""
         x, y = runs[a], runs[b]
         if x.shares != y.shares:
-            return (a, b) if x.shares > y.shares else (b, a)
-        s, t, k = x.head, y.head, x.shares
-        while s[k : k + 8] == t[k : k + 8] and k < _RECORD:
-            k += 8
-        while k < _RECORD and s[k] == t[k]:
-            k += 1
-        k = min(k, _RECORD)
-        if k == _RECORD or s[k] < t[k]:
+            return x.shares > y.shares
+        s, t = x.head, y.head
+        if s == t:
+            y.shares = _RECORD
+            return True
+        k = _prefix(s, t, x.shares)
+        if s < t:
             y.shares = k
-            return a, b
+            return True
         x.shares = k
-        return b, a
-
-    for r in runs:
-        r.shares = 0
+        return False
 
     def build(i: int) -> int:
         if i >= size:
-            return i - size if i - size < len(runs) else -1
-        w, tree[i] = play(build(2 * i), build(2 * i + 1))
+            return i - size if i - size < len(runs) and runs[i - size].head is not None else -1
+        a, b = build(2 * i), build(2 * i + 1)
+        if a < 0 or b < 0:
+            return max(a, b)
+        w, tree[i] = (a, b) if first(a, b) else (b, a)
         return w
 
+    for r in runs:
+        r.shares = 0
     winner = build(1)
-    while winner >= 0 and runs[winner].head is not None:
+    while winner >= 0:
         r = runs[winner]
         yield winner, r.i, r.shares
         r.step()
-        i = (winner + size) // 2
+        i = (winner + size) >> 1
+        if r.head is None:
+            winner = -1
         while i:
-            winner, tree[i] = play(winner, tree[i])
-            i //= 2
+            other = tree[i]
+            if other >= 0:
+                if winner < 0:
+                    winner, tree[i] = other, -1
+                else:
+                    mine, its = runs[winner].shares, runs[other].shares
+                    if mine < its or (mine == its and not first(winner, other)):
+                        winner, tree[i] = other, winner
+            i >>= 1
 
 
 def smaller_strings(records: np.ndarray, common: np.ndarray, docs: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """For merged records: a bit for each anchored string that a document smaller than the record's own has."""
     out = np.zeros(len(records), dtype=np.uint32)
-    left = np.zeros(len(records), dtype=U64)
-    by_doc = np.argsort(docs, kind="stable")
+    if not len(records):
+        return out
+    # Equal records of several runs stand together, and are one as far as their strings go.
+    new = common < _RECORD
+    new[0] = True
+    one, of = np.flatnonzero(new), np.cumsum(new) - 1
+    sides = records[one, LENGTH : LENGTH + LEFT]
+    smallest, anchored = np.minimum.reduceat(docs, one), np.bitwise_or.reduceat(bits, one)
+    by_doc = np.argsort(smallest, kind="stable")
+    left = np.zeros(len(one), dtype=U64)
     for o in range(SPREAD):
         if o:
-            left = left * U64(BYTE_BASE) + records[:, LENGTH + LEFT - o].astype(U64) + U64(1)
-        on = by_doc[(bits[by_doc] >> np.uint32(o)) & 1 == 1]
+            left = left * U64(BYTE_BASE) + sides[:, LEFT - o].astype(U64) + U64(1)
+        on = by_doc[(anchored[by_doc] >> np.uint32(o)) & 1 == 1]
         if not len(on):
             continue
-        same = np.cumsum(common < LENGTH - o)
+        same = np.cumsum(common < LENGTH - o)[one]
         # Strings of one group stand together, that of the smallest document first.
         on, least = _grouped(mix(mix(same[on].astype(U64)) + left[on]), on)
-        if not ((same[on] == same[least]).all() and (records[on, LENGTH + LEFT - o : LENGTH + LEFT] == records[least, LENGTH + LEFT - o : LENGTH + LEFT]).all()):
-            exact = np.concatenate([same[:, None].astype(">i8").view(np.uint8), records[:, LENGTH + LEFT - o : LENGTH + LEFT]], axis=1)
+        if not ((same[on] == same[least]).all() and (sides[on, LEFT - o :] == sides[least, LEFT - o :]).all()):
+            exact = np.concatenate([same[:, None].astype(">i8").view(np.uint8), sides[:, LEFT - o :]], axis=1)
             on, least = _grouped(np.unique(exact, axis=0, return_inverse=True)[1].reshape(-1)[on], on)
-        out[on] |= (docs[least] < docs[on]).astype(np.uint32) << np.uint32(o)
+        first = np.full(len(one), np.iinfo(np.int64).max)
+        first[on] = smallest[least]
+        out |= ((first[of] < docs).astype(np.uint32) << np.uint32(o)) & bits
     return out
 
 
