@@ -12,7 +12,6 @@ by `decontaminate`, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,7 +197,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", t
                     yield pa.RecordBatch.from_arrays(cols, schema=rows.schema)
 
     return docs.mapInArrow(lean(scan), schema)
-
-
-def items_digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, release, small_batches
-from .textkit import U64, as_string, slices
+from .textkit import as_string, slices
 
 UNKNOWN = "und"
 #: Labelled rows that the classifiers are fitted on, and bytes of their texts, at most: the driver holds their n-grams.
@@ -233,4 +233,4 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     return docs.mapInArrow(lean(run), docs.schema)
 
 
-__all__ = ["U64", "Model", "fit", "keep_known", "predict", "train"]
+__all__ = ["Model", "fit", "keep_known", "predict", "train"]

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_text, lean, staged
+from .common import id_text, lean, staged
 from .textkit import as_string, slices
 
 SEQUENCE = 2048
@@ -227,4 +227,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     return dealt.groupBy("deal").applyInPandas(run, PACKED)
 
 
-__all__ = ["SEQUENCE", "Encoder", "cuts", "discard", "pack", "pieces", "sum_of_squares"]
+__all__ = ["SEQUENCE", "Encoder", "cuts", "pack", "pieces", "sum_of_squares"]
