@@ -227,6 +227,32 @@ def test_batch_asks_for_whole_texts(spark, tmp_path):
     assert set(want) == {(1, 1000), (1, 4000), (2, 1000), (2, 2000), (2, 3000), (2, 4000)} and got == pytest.approx(want, abs=1e-6)
 
 
+def tables(spark, path, docs, items):
+    """The tables that the text queries read; the one embedding belongs to no document of text."""
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(10**6, [1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+
+
+def rows_of_sql(path, name, names):
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as c:
+        for n in names:
+            c.sql(f"CREATE VIEW {n} AS FROM '{path}/{n}.parquet/*.parquet'")
+        return c.sql(catalog.ORACLE_SQL[name]).fetchall()
+
+
+@pytest.mark.parametrize(("name", "asked"), [("bm25_batch", "alpha")])
+def test_batch_ties_rank_by_id(spark, tmp_path, name, asked):
+    """Scores that are the same to nine decimals are a tie: the smaller id ranks first, though the other is a bit better."""
+    words = asked.split()
+    docs = [(i, " ".join(words * (400 // len(words)) + ["omega"] * n)) for i, n in ((1, 3), (2, 1), (3, 2), (4, 1))] + [(5, "omega")]
+    tables(spark, str(tmp_path), docs, [(1, asked)])
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted((r[3], r[1]) for r in got) == [(1, 1000), (2, 2000), (3, 3000), (4, 4000)]
+    assert sorted(got) == sorted(rows_of_sql(tmp_path, name, ("documents", "benchmark", "embeddings")))
+
+
 def test_response_leaves_out_nulls(index):
     row = S.response(S.search(index, "salt", [0.0, 1.0], 1)).first()[0]
     assert "mime_type" not in row and "truncated" not in row and '"path"' in row
