@@ -52,8 +52,9 @@ def latest_change(events: DataFrame) -> DataFrame:
 
 
 def last_change(events: DataFrame) -> DataFrame:
-    """One row: when something last changed, in milliseconds; null if nothing did."""
-    return events.agg(F.unix_millis(F.max(F.col("ts").cast("timestamp"))).alias("last_change_ms"))
+    """One row: when something last changed, to the nearest millisecond (halves away from zero); null if nothing did."""
+    micros = F.unix_micros(F.max(F.col("ts").cast("timestamp")))
+    return events.agg((F.round(micros, -3) / 1000).cast("long").alias("last_change_ms"))
 
 
 Read = Callable[[DataFrame], DataFrame]

@@ -6,6 +6,7 @@ import os
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -330,6 +331,15 @@ def test_dirty_union_and_gauge(spark):
     assert feed.last_change(events).first()[0] == 9000 and feed.last_change(events.limit(0)).first()[0] is None
 
 
+def test_last_change_rounds(spark):
+    """Parts of a millisecond are rounded as the SQL rounds them, before 1970 too."""
+    micros = [0, 1499, 1500, 1999, 1706659165261499, 1706659165261500, 1706659165261702, -1499, -1500, -1501, -315619199998500, None]
+    with duckdb.connect() as c:
+        want = [c.execute("SELECT epoch_ms(make_timestamp(CAST(? AS BIGINT)))", [x]).fetchone()[0] for x in micros]
+    one = lambda x: spark.createDataFrame([("a", x)], "path string, us long").select("path", F.timestamp_micros("us").alias("ts"))
+    assert [feed.last_change(one(x)).first()[0] for x in micros] == want and want[5] == 1706659165262
+
+
 def test_scan_keeps_going(spark, tmp_path):
     (tmp_path / "a.md").write_text("alpha")
     found = spark.createDataFrame([("a.md", "text"), ("gone.md", "text"), ("", "text")], "path string, media_type string")
