@@ -242,11 +242,11 @@ def rows_of_sql(path, name, names):
         return c.sql(catalog.ORACLE_SQL[name]).fetchall()
 
 
-@pytest.mark.parametrize(("name", "asked"), [("bm25_batch", "alpha")])
+@pytest.mark.parametrize(("name", "asked"), [("bm25_batch", "alpha"), ("bm25_batch_text", "alpha beta gamma delta")])
 def test_batch_ties_rank_by_id(spark, tmp_path, name, asked):
     """Scores that are the same to nine decimals are a tie: the smaller id ranks first, though the other is a bit better."""
     words = asked.split()
-    docs = [(i, " ".join(words * (400 // len(words)) + ["omega"] * n)) for i, n in ((1, 3), (2, 1), (3, 2), (4, 1))] + [(5, "omega")]
+    docs = [(i, " ".join(words * (480 // len(words)) + ["omega"] * n)) for i, n in ((1, 3), (2, 1), (3, 2), (4, 1))] + [(5, "omega")]
     tables(spark, str(tmp_path), docs, [(1, asked)])
     got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
     assert sorted((r[3], r[1]) for r in got) == [(1, 1000), (2, 2000), (3, 3000), (4, 4000)]
